@@ -124,9 +124,11 @@ def tokenise(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024
 class SumOfSquares:
     """Open bins counted by residual gap; each item goes where the sum of squared counts ends least.
 
-    Taking a bin of gap g for an item of size s changes the sum by 2 (N[g-s] - N[g] + 1),
-    by 1 - 2 N[s] if it fills the bin, and a new bin by 2 N[capacity-s] + 1. Ties go to the
-    smallest gap, and to an open bin before a new one.
+    Taking an open bin of gap g for an item of size s changes the sum by 2 (N[g-s] - N[g] + 1),
+    or by 1 - 2 N[s] if it fills the bin. Ties go to the smallest gap. A new bin is opened
+    only for what fits in no open one: letting it compete, as the rule for items that
+    arrive at random does, leaves bins open that large items never fill again (4 % more
+    sequences than tokens need instead of 0.7 %, for items in decreasing order).
     """
 
     def __init__(self, capacity: int):
@@ -143,7 +145,7 @@ class SumOfSquares:
             change[0] -= 1
             change[held == 0] = 1 << 60
             j = int(change.argmin())
-            if change[j] <= 2 * counts[top - size] + 1:
+            if held[j]:
                 gap, left = j + size, j
                 k = self.bins[gap].pop()
                 counts[gap] -= 1
@@ -167,8 +169,9 @@ def pack(tokens: DataFrame, capacity: int = 1024, shard_docs: int = 50_000) -> D
     """Places the pieces of tokenised documents: one row a piece, with its sequence and offset.
 
     Documents are dealt by a hash among as many shards as shard_docs gives; a shard's are
-    sorted and placed one after another, in one pass that remembers open bins only, so
-    that a rerun of a lost task makes the same rows. Sequence ids are unique over shards.
+    placed one after another by decreasing size of what is over, in one pass that remembers
+    open bins only, so that a rerun of a lost task makes the same rows. Sequence ids are
+    unique over shards.
     """
     n = tokens.count()
     shards = max(1, math.ceil(n / shard_docs))
@@ -189,7 +192,8 @@ def pack(tokens: DataFrame, capacity: int = 1024, shard_docs: int = 50_000) -> D
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], schema=_PIECES)
 
     dealt = tokens.select("doc_id", "n_tokens", "crcs").repartition(shards, F.xxhash64("doc_id", "n_tokens", "crcs"))
-    return dealt.sortWithinPartitions(F.xxhash64("crcs", "doc_id"), "doc_id", "n_tokens").mapInArrow(run, PIECES)
+    over = F.pmod(F.col("n_tokens") - 1, F.lit(capacity))
+    return dealt.sortWithinPartitions(over.desc(), "n_tokens", "doc_id", "crcs").mapInArrow(run, PIECES)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, end_id: int = 2, shard_docs: int = 50_000, **columns) -> DataFrame:
