@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, quality, simhash
+from . import langid, mixing, packing, quality, simhash
 from .common import table
 
 QUERIES: dict = {}
@@ -41,3 +41,12 @@ def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score for every document."""
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of all sources takes of every document."""
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op5_mix"] = mixing.ORACLE
