@@ -70,7 +70,8 @@ def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     Each fingerprint emits every variant within half the radius, and the variants are
     shuffled. Whoever shares a variant is within the radius of each other, as two halves
     make a whole, so that a star to the least one links them without any pair being
-    tried. Odd radii give one side the larger half and verify afterwards; here radius is even.
+    tried. This takes 2081 rows a fingerprint for radius 4, so links() keeps it for
+    fingerprints in crowded neighbourhoods.
     """
     if radius % 2:
         raise ValueError("radius must be even")
@@ -80,6 +81,121 @@ def ball_links(fps: DataFrame, radius: int = 4) -> DataFrame:
     return out.join(least, "variant").where("fp <> a").select("a", F.col("fp").alias("b")).distinct()
 
 
+#: Members of a key that are compared with each other; beyond, comparing costs more than their whole balls.
+CROWD = 4096
+_SMALL = 24
+_LINK = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _split(x: np.ndarray, side: np.ndarray) -> np.ndarray:
+    """The half of each fingerprint that its key is of; side 0 is the high half."""
+    return np.where(side == 0, x >> np.uint64(32), x & np.uint64(0xFFFFFFFF))
+
+
+def _canonical(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether a key is the one that reports the pair: of the half that differs in two bits or fewer
+    (the high one if both do), the variant between them that is least by the lowest differing bit."""
+    side, variant = keys >> np.uint64(32), keys & np.uint64(0xFFFFFFFF)
+    high = np.bitwise_count((a ^ b) >> np.uint64(32)) <= 2
+    ha, hb = _split(a, side), _split(b, side)
+    x = ha ^ hb
+    n, low = np.bitwise_count(x), x & (~x + np.uint64(1))
+    want = np.where(n == 0, ha, np.where(n == 1, np.minimum(ha, hb), np.minimum(ha ^ low, hb ^ low)))
+    return (variant == want) & ((side == 0) == high)
+
+
+def _pairs(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within runs of equal keys; keys are sorted, and fingerprints within each."""
+    left, right = [], []
+    cuts = np.flatnonzero(np.diff(keys)) + 1
+    starts, sizes = np.concatenate(([0], cuts)), np.diff(np.concatenate(([0], cuts, [len(keys)])))
+    small = np.repeat(sizes <= _SMALL, sizes)
+    k, f = keys[small], fps[small]
+    for s in range(1, _SMALL):
+        i = np.flatnonzero(k[s:] == k[:-s])
+        if not len(i):
+            break
+        a, b = f[i], f[i + s]
+        near = np.bitwise_count(a ^ b) <= radius
+        a, b, i = a[near], b[near], i[near]
+        own = _canonical(k[i], a, b)
+        left.append(a[own])
+        right.append(b[own])
+    for start, size in zip(starts[sizes > _SMALL].tolist(), sizes[sizes > _SMALL].tolist(), strict=True):
+        rest = fps[start : start + size]
+        while len(rest) > 1:  # a component of the run at a time, each as a star
+            root, todo, rest = rest[0], [rest[0]], rest[1:]
+            while todo and len(rest):
+                near = np.bitwise_count(rest ^ todo.pop()) <= radius
+                if near.any():
+                    found, rest = rest[near], rest[~near]
+                    left.append(np.full(len(found), root))
+                    right.append(found)
+                    todo.extend(found.tolist())
+    none = np.zeros(0, np.uint64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def links(fps: DataFrame, radius: int = 4) -> DataFrame:
+    """Links (a, b) among distinct fingerprints that join all that radius joins, by balls of half words.
+
+    Of two fingerprints within radius 4, one 32-bit half differs in two bits or fewer. So
+    each half emits all its variants within half of that, one bit (33 a half, 66 in all,
+    where whole words take 2081), and the variants are shuffled. Those that meet under a
+    variant are verified over all 64 bits. Under a variant with more than CROWD
+    fingerprints nothing is compared: those go to ball_links, whose cost is in
+    proportion to their number. No task holds more than CROWD fingerprints of one key.
+    """
+    if radius != 4:
+        return ball_links(fps, radius)
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i).cast("long") for i in range(32)])
+    high, low = F.shiftrightunsigned("fp", 32), F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF))
+    keys = F.concat(F.transform(flips, lambda m: high.bitwiseXOR(m)), F.transform(flips, lambda m: low.bitwiseXOR(m) + F.lit(1 << 32)))
+    out = fps.select("fp", F.explode(keys).alias("key"))
+
+    def run(batches):
+        none = np.zeros(0, np.int64)
+        keys, fps, hot = none, none, None
+
+        def links_of(k, f):
+            a, b = _pairs(k.view(np.uint64), f.view(np.uint64), radius)
+            return batch(_LINK, a.view(np.int64), b.view(np.int64))
+
+        for b in batches:
+            keys = np.concatenate((keys, b.column(0).to_numpy()))
+            fps = np.concatenate((fps, b.column(1).to_numpy()))
+            if hot is not None:  # the rest of a crowd
+                more = int(np.searchsorted(keys, hot, "right"))
+                yield batch(_LINK, fps[:more], fps[:more])
+                keys, fps = keys[more:], fps[more:]
+                if not len(keys):
+                    continue
+                hot = None
+            first = int(np.searchsorted(keys, keys[-1]))
+            whole, members = keys[:first], fps[:first]
+            if len(keys) - first > CROWD:
+                hot = keys[-1]
+                yield batch(_LINK, fps[first:], fps[first:])
+                keys, fps = none, none
+            else:
+                keys, fps = keys[first:], fps[first:]
+            if len(whole):
+                size = np.unique_counts(whole).counts
+                crowd = np.repeat(size > CROWD, size)
+                if crowd.any():
+                    yield batch(_LINK, members[crowd], members[crowd])
+                    whole, members = whole[~crowd], members[~crowd]
+                if len(whole):
+                    yield links_of(whole, members)
+        if len(keys):
+            yield links_of(keys, fps)
+
+    met = out.repartition("key").sortWithinPartitions("key", "fp").select("key", "fp").mapInArrow(run, "a long, b long").distinct()
+    met = materialise(met, "links")
+    found, crowded = met.where("a <> b"), met.where("a = b").select(F.col("a").alias("fp"))
+    return found if crowded.isEmpty() else found.unionByName(ball_links(crowded, radius))
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = 4) -> DataFrame:
     """Near-duplicate groups: (doc_id, fp, component_id), one row for each row of docs.
 
@@ -89,12 +205,12 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     and never names a component unless all of the component are null. An empty table gives
     an empty result; other columns of docs are never looked at, whatever their names.
 
-    Copies share a fingerprint, so only distinct fingerprints are linked: a group of
+    Copies share a fingerprint, so that only distinct fingerprints are linked: a group of
     copies, however large, is one row there, found by a combined grouped minimum.
     """
     fps = materialise(fingerprints(docs, id_col, text_col, size), "fingerprints")
     reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    roots = components(ball_links(reps.select("fp"), radius))
+    roots = components(links(reps.select("fp"), radius))
     placed = reps.join(roots, reps.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
     named = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_fp = placed.join(named, "root").select("fp", "component_id")
