@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, quality, simhash
+from . import langid, licenses, mixing, packing, quality, simhash
 from .common import table
 
 QUERIES: dict = {}
@@ -50,3 +50,12 @@ def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op5_mix"] = mixing.ORACLE
+
+
+@query
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License wording in every document."""
+    return licenses.report(licenses.scan(table(spark, sf_dir, "documents")))
+
+
+ORACLES["op6_licenses"] = licenses.oracle()
