@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, licenses, mixing, packing, quality, simhash
+from . import html_extract, langid, licenses, mixing, packing, quality, simhash
 from .common import table
 
 QUERIES: dict = {}
@@ -59,3 +59,9 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op6_licenses"] = licenses.oracle()
+
+
+@query
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
