@@ -5,8 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -50,3 +51,50 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 
 def batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def first_of_groups(df: DataFrame, keys: list[str], order: list[str], n: int, salts: int = 64) -> DataFrame:
+    """The n first rows of each group, by a total order, however large a group is.
+
+    Rows are ranked within hashed parts of a group first, so that the task that ranks a
+    group reads at most salts * n rows of it. Ties of the whole order are broken anyhow.
+    """
+    parts = df.withColumn("__salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    for by in ([*keys, "__salt"], keys)[salts < 2 :]:
+        w = Window.partitionBy(*by).orderBy(*order)
+        parts = parts.withColumn("__rank", F.row_number().over(w)).where(F.col("__rank") <= n).drop("__rank")
+    return parts.drop("__salt")
+
+
+_VECTOR = pa.schema([("vec_id", pa.int64()), ("vector", pa.binary())])
+
+
+def vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", zero: bool = False) -> DataFrame:
+    """(vec_id, vector) with vector packed as little-endian doubles.
+
+    Vectors null, empty or holding null or non-finite components are left out, and zero
+    ones too unless zero; so are rows of null id, and vectors of another length than most.
+    """
+    source = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x")).where("vec_id is not null and size(x) > 0")
+    length = source.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
+    if not length:
+        return source.select("vec_id", F.lit(None).cast("binary").alias("vector")).where("false")
+    n = length[0]["n"]
+
+    def run(batches):
+        for b in batches:
+            lists = b.column(1)
+            x = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+            good = np.isfinite(x).all(axis=1)
+            if not zero:
+                good &= (x != 0).any(axis=1)
+            ids = b.column(0).to_numpy(zero_copy_only=False)[good]
+            yield batch(_VECTOR, ids, [v.tobytes() for v in x[good].astype("<f8")])
+
+    return source.where(F.size("x") == n).mapInArrow(run, "vec_id long, vector binary")
+
+
+def unpack(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A matrix of packed vectors."""
+    found = [np.frombuffer(v, "<f8") for v in column.to_pylist()]
+    return np.array(found).reshape(len(found), -1)

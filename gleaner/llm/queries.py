@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, langid, licenses, mixing, packing, quality, simhash
+from . import ann, html_extract, langid, licenses, mixing, packing, quality, simhash
 from .common import table
 
 QUERIES: dict = {}
@@ -65,3 +65,9 @@ ORACLES["op6_licenses"] = licenses.oracle()
 def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all embeddings found for each twentieth."""
+    return ann.search(table(spark, sf_dir, "embeddings"))
