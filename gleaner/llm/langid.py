@@ -11,10 +11,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, fold, materialise
+from .common import batch, first_of_groups, fold, materialise
 
 #: Hash buckets that character n-grams share.
 BUCKETS = 1 << 16
@@ -169,11 +169,9 @@ _SAMPLE = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("at", pa.bi
 def sample(docs: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> list[tuple[str, np.ndarray, np.ndarray]]:
     """Features of at most rows_per_label labelled rows of each label, those of least hashed id.
 
-    Only ids are ranked, and each task keeps its own least ones before the shuffle, so that
-    a label with most of the rows is no burden. The ids' number has a fixed bound, so they are broadcast.
+    Only ids are ranked, part by part, so that a label with most of the rows is no burden. The ids' number has a fixed bound, so they are broadcast.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = docs.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rows_per_label)
+    ids = first_of_groups(docs.select("doc_id", "lang", F.xxhash64("doc_id").alias("mixed")), ["lang"], ["mixed", "doc_id"], rows_per_label)
     ids = materialise(ids.select("doc_id", "lang").distinct(), "sample").withColumnRenamed("lang", "picked")
 
     def run(batches):
