@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_extract, langid, licenses, mixing, packing, quality, simhash
+from . import ann, chat, html_extract, langid, licenses, mixing, mtree, packing, quality, simhash
 from .common import table
 
 QUERIES: dict = {}
@@ -71,3 +71,22 @@ def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of all embeddings found for each twentieth."""
     return ann.search(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 largest integer inner products of each hundredth embedding with all others."""
+    return mtree.search(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op4_topk"] = mtree.oracle()
+
+
+@query
+def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A preference record of every conversation that has a reply: as it went, against a stale last reply."""
+    pairs = chat.stale_replies(chat.conversations(table(spark, sf_dir, "conversations")))
+    return chat.digest(chat.preferences(pairs))
+
+
+ORACLES["op9_preferences"] = chat.oracle()
