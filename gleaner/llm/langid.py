@@ -214,6 +214,14 @@ def held_out(id_col: str = "doc_id", folds: int = 4, left: int = 2) -> Column:
     return F.coalesce(fold(id_col, folds) == left, F.lit(True))
 
 
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, left: int = 2, rows_per_label: int = ROWS_PER_LABEL, **penalties):
+    """A broadcast model of the text and non-null language of rows whose crc32(id as text) modulo folds isn't ``left``."""
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    model = train(source.where(~held_out("doc_id", folds, left)), rows_per_label, **penalties)
+    model.weights = model.weights.astype(np.float32)
+    return docs.sparkSession.sparkContext.broadcast(model)
+
+
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, left: int = 2, rows_per_label: int = ROWS_PER_LABEL, **penalties) -> DataFrame:
     """Predicts the language of every whole text: (doc_id, held_out, lang_pred, score).
 
@@ -223,15 +231,32 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     score 0, as is everything if there is nothing to learn from; an empty table gives no
     rows; repeated rows are each predicted, alike; ids may be null; other columns are not read.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    source = source.withColumn("held_out", held_out("doc_id", folds, left))
-    model = train(source.where(~F.col("held_out")).select("doc_id", "text", "lang"), rows_per_label, **penalties)
-    model.weights = model.weights.astype(np.float32)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = learn(docs, id_col, text_col, lang_col, folds, left, rows_per_label, **penalties)
 
     def run(batches):
         for b in batches:
             found = [sent.value.predict(t) for t in b.column(2).to_pylist()]
             yield batch(_PREDICTED, b.column(0), b.column(1), [x for x, _ in found], [p for _, p in found])
 
-    return source.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col, folds, left).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    return source.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def keep(docs: DataFrame, least: float = 0.3, text_col: str = "text", **columns) -> DataFrame:
+    """Rows of docs in a known language: not ``und``, and predicted with a probability of ``least`` or more.
+
+    Columns are unchanged, whatever their names; each row is decided where it is read, so
+    no text is shuffled. Without any language to learn from, every row with a letter stays.
+    """
+    sent, at = learn(docs, text_col=text_col, **columns), docs.columns.index(text_col)
+
+    def known(text: str | None) -> bool:
+        if not sent.value.labels:
+            return bool(len(grams(text)[0]))
+        return sent.value.predict(text)[1] >= least
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array([known(t) for t in b.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

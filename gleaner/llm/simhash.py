@@ -196,6 +196,19 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     return found if crowded.isEmpty() else found.unionByName(ball_links(crowded, radius))
 
 
+def _placed(fps: DataFrame, radius: int) -> DataFrame:
+    """(fp, root, component_id) of each distinct fingerprint; root is the least fingerprint of its component.
+
+    Copies share a fingerprint, so that only distinct fingerprints are linked: a group of
+    copies, however large, is one row there, found by a combined grouped minimum.
+    """
+    reps = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
+    roots = components(links(reps.select("fp"), radius))
+    placed = reps.join(roots, reps.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    named = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return placed.join(named, "root").select("fp", "root", "component_id")
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = 4) -> DataFrame:
     """Near-duplicate groups: (doc_id, fp, component_id), one row for each row of docs.
 
@@ -204,24 +217,40 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     and link like any other. Repeated rows stay and share a component; a null doc_id stays
     and never names a component unless all of the component are null. An empty table gives
     an empty result; other columns of docs are never looked at, whatever their names.
-
-    Copies share a fingerprint, so that only distinct fingerprints are linked: a group of
-    copies, however large, is one row there, found by a combined grouped minimum.
     """
     fps = materialise(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    roots = components(links(reps.select("fp"), radius))
-    placed = reps.join(roots, reps.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_fp = placed.join(named, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(_placed(fps, radius).drop("root"), "fp").select("doc_id", "fp", "component_id")
 
 
 def hex_digits(fp: str = "fp"):
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", **params) -> DataFrame:
-    """The rows of docs whose id names its component, each id once; columns unchanged."""
-    kept = groups(docs, id_col, **params).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi").dropDuplicates([id_col])
+_KEYED = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64()), ("body", pa.int64())])
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, radius: int = 4) -> DataFrame:
+    """One row of docs for each near-duplicate group, columns unchanged: the one whose id names it.
+
+    Of several rows with that id, the one of least fingerprint and text hash stays; so it
+    is in a group without any id. Ids, fingerprints and hashes alone are shuffled to
+    decide; texts move once, to be met by those that stay.
+    """
+
+    def run(batches):
+        for b in batches:
+            found = np.array([fingerprint(t, size) for t in as_bytes(b.column(1))], np.uint64)
+            yield batch(_KEYED, b.column(0), found.view(np.int64), b.column(2))
+
+    names, doc_id, text = docs.columns, F.col(id_col).cast("long"), F.col(text_col).cast("string")
+    keyed = docs.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("body")).mapInArrow(run, "doc_id long, fp long, body long")
+    fps = materialise(keyed, "fingerprints")
+    least = fps.groupBy("doc_id", "fp").agg(F.min("body").alias("body"))
+    named = least.join(_placed(fps, radius), "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    one = named.groupBy("root").agg(F.min(F.struct("doc_id", "fp", "body")).alias("k"))
+    keys = ["__known", "__id", "__body"]
+    one = one.select(F.col("k.doc_id").isNotNull().alias(keys[0]), F.coalesce("k.doc_id", F.lit(0)).alias(keys[1]), F.col("k.body").alias(keys[2]))
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")
+    rows = docs.select(row, doc_id.isNotNull().alias(keys[0]), F.coalesce(doc_id, F.lit(0)).alias(keys[1]), F.xxhash64(text).alias(keys[2]))
+    kept = rows.join(one, keys, "left_semi").dropDuplicates(keys)
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in names])
