@@ -55,6 +55,11 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     return placed.select("source", "source_size", "place", "weight", target.alias("target"))
 
 
+def _let(value: Column, f) -> Column:
+    """f(value) with value worked out once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _ln_factorial(n: Column) -> Column:
     """ln n! to about twelve digits: a table below 20, Stirling's series from there."""
     small = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(20)])
@@ -63,6 +68,12 @@ def _ln_factorial(n: Column) -> Column:
     return F.when(n < 20, F.element_at(small, F.greatest(n, F.lit(0)).cast("int") + 1)).otherwise(large)
 
 
+def _ratio(above: list[Column], below: list[Column]) -> Column:
+    """The product of the factorials above over that of those below."""
+    terms = [F.struct(F.lit(sign).alias("sign"), n.alias("n")) for sign, all_n in ((1.0, above), (-1.0, below)) for n in all_n]
+    return F.exp(F.aggregate(F.array(*terms), F.lit(0.0), lambda total, t: total + t["sign"] * _ln_factorial(t["n"])))
+
+
 def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
     """How many of ``drawn`` out of ``total`` are among ``marked``: the quantile at u, by inverting the distribution.
 
@@ -75,17 +86,20 @@ def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> C
     spread = 12 * F.sqrt(F.greatest(mean * (1 - marked / n) * (n - drawn) / F.greatest(n - 1, F.lit(1.0)), F.lit(0.0))) + 2
     low = F.greatest(F.lit(0), drawn + marked - total, F.floor(mean - spread).cast("long"))
     high = F.least(marked, drawn, F.ceil(mean + spread).cast("long"))
-    pick = lambda a, b: _ln_factorial(a) - _ln_factorial(b) - _ln_factorial(a - b)
-    first = F.exp(pick(marked, low) + pick(total - marked, drawn - low) - pick(total, drawn))
     step = lambda k: ((marked - k) * (drawn - k)).cast("double") / ((k + 1) * (total - marked - drawn + k + 1))
-    start = F.struct(low.alias("k"), first.alias("p"), first.alias("sum"))
 
     def merge(s: Column, k: Column) -> Column:
-        p = s["p"] * step(s["k"])
-        return F.when(s["sum"] >= u, s).otherwise(F.struct((s["k"] + 1).alias("k"), p.alias("p"), (s["sum"] + p).alias("sum")))
+        more = _let(s["p"] * step(s["k"]), lambda p: F.struct((s["k"] + 1).alias("k"), p.alias("p"), (s["sum"] + p).alias("sum")))
+        return F.when(s["sum"] >= u, s).otherwise(more)
+
+    def walk(ends: Column) -> Column:
+        low, high = ends["low"], ends["high"]
+        first = _ratio([marked, total - marked, drawn, total - drawn], [low, marked - low, drawn - low, total - marked - drawn + low, total])
+        start = _let(first, lambda p: F.struct(low.alias("k"), p.alias("p"), p.alias("sum")))
+        steps = F.when(high > low, F.sequence(low + 1, high)).otherwise(F.array().cast("array<bigint>"))
+        return F.least(F.aggregate(steps, start, merge)["k"], high)
 
-    walked = F.aggregate(F.when(high > low, F.sequence(low + 1, high)).otherwise(F.array().cast("array<bigint>")), start, merge)
-    return F.least(walked["k"], high)
+    return _let(F.struct(low.alias("low"), high.alias("high")), walk)
 
 
 def split(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
@@ -94,31 +108,43 @@ def split(quotas: DataFrame, shards: int, seed: int = 0) -> DataFrame:
     A node of the tree has the block quotas of the shards below it and halves them: how
     many blocks of each source go left is drawn, source after source, as if that many
     blocks were drawn blindly from all of the node's. So every shard gets the mix of
-    sources that a shuffle of all blocks would give it, and quotas add up exactly.
+    sources that a shuffle of all blocks would give it, and quotas add up exactly. The
+    nodes of a level are one array, of at most ``shards`` quotas.
     """
-    nodes = quotas.select(F.lit(0).alias("low"), F.lit(shards).alias("high"), "quotas")
-    for _ in range(max(0, math.ceil(math.log2(shards)))):
-        middle = F.col("low") + F.floor((F.col("high") - F.col("low")) / 2).cast("int")
-        total = F.aggregate("quotas", F.lit(0).cast("long"), lambda s, q: s + q)
-        leaf = F.col("high") - F.col("low") < 2
-        drawn = F.floor(total * (middle - F.col("low")) / (F.col("high") - F.col("low"))).cast("long")
+
+    def draw(node: Column, drawn: Column, total: Column) -> Column:
+        """How many of each source go left."""
+        numbered = F.transform(node["quotas"], lambda q, i: F.struct(q.alias("q"), i.alias("i")))
         start = F.struct(total.alias("total"), drawn.alias("drawn"), F.array().cast("array<bigint>").alias("left"))
-        numbered = F.transform("quotas", lambda q, i: F.struct(q.alias("q"), i.alias("i")))
-
-        def draw(s: Column, x: Column) -> Column:
-            u = F.xxhash64(F.lit(seed), F.col("low"), F.col("high"), x["i"]).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
-            k = F.array(hypergeometric(s["total"], x["q"], s["drawn"], u))
-            return F.aggregate(k, s, lambda s, k: F.struct((s["total"] - x["q"]).alias("total"), (s["drawn"] - k).alias("drawn"), F.concat(s["left"], F.array(k)).alias("left")))
-
-        nodes = nodes.withColumn("left", F.when(leaf, F.col("quotas")).otherwise(F.aggregate(numbered, start, draw)["left"]))
-        below = F.when(leaf, F.array(F.struct("low", "high", F.col("left").alias("quotas")))).otherwise(
-            F.array(
-                F.struct(F.col("low").alias("low"), middle.alias("high"), F.col("left").alias("quotas")),
-                F.struct(middle.alias("low"), F.col("high").alias("high"), F.zip_with("quotas", "left", lambda a, b: a - b).alias("quotas")),
+
+        def one(s: Column, x: Column) -> Column:
+            u = F.xxhash64(F.lit(seed), node["low"], node["high"], x["i"]).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
+            return _let(
+                hypergeometric(s["total"], x["q"], s["drawn"], u),
+                lambda k: F.struct((s["total"] - x["q"]).alias("total"), (s["drawn"] - k).alias("drawn"), F.concat(s["left"], F.array(k)).alias("left")),
             )
+
+        return F.aggregate(numbered, start, one)["left"]
+
+    def halves(node: Column) -> Column:
+        low, high = node["low"], node["high"]
+        middle = low + F.floor((high - low) / 2).cast("int")
+        total = F.aggregate(node["quotas"], F.lit(0).cast("long"), lambda s, q: s + q)
+        left = _let(total, lambda t: draw(node, F.floor(t * (middle - low) / (high - low)).cast("long"), t))
+        below = _let(
+            left,
+            lambda x: F.array(
+                F.struct(low.alias("low"), middle.alias("high"), x.alias("quotas")),
+                F.struct(middle.alias("low"), high.alias("high"), F.zip_with(node["quotas"], x, lambda a, b: a - b).alias("quotas")),
+            ),
         )
-        nodes = nodes.select(F.explode(below).alias("n")).select("n.low", "n.high", "n.quotas")
-    return nodes.select(F.col("low").alias("shard"), "quotas")
+        return F.when(high - low < 2, F.array(node)).otherwise(below)
+
+    nodes = F.array(F.struct(F.lit(0).alias("low"), F.lit(shards).alias("high"), F.col("quotas")))
+    if shards > 1:
+        levels = F.sequence(F.lit(1), F.lit(math.ceil(math.log2(shards))))
+        nodes = F.aggregate(levels, nodes, lambda level, _: F.flatten(F.transform(level, halves)))
+    return quotas.select(F.explode(nodes).alias("n")).select(F.col("n.low").alias("shard"), "n.quotas")
 
 
 def plan(sized: DataFrame, shards: int = 16, seed: int = 0, **shares) -> DataFrame:
