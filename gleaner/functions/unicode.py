@@ -28,9 +28,9 @@ PUNCTUATION = (
     "2010-2027 2030-205E 20A0-20CF 2100-214F 2190-21FF 2200-22FF 2300-23FF 2500-27BF 2E00-2E7F 3001-3004 3008-3020 3030-3037 303D-303F 30FB FE30-FE4F FE50-FE6B FF01-FF0F FF1A-FF20 "
     "FF3B-FF40 FF5B-FF65"
 )
-INVISIBLE = "­‌‍⁠"
-SPACES = " \t\x0b\x0c             ​﻿  　"
-NEWLINES = "\n\r\x85  "
+INVISIBLE = "\u00ad\u200c\u200d\u2060"
+SPACES = " \t\x0b\x0c\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\ufeff\u202f\u205f\u3000"
+NEWLINES = "\n\r\x85\u2028\u2029"
 
 
 def _ranges(spec: str) -> list[tuple[int, int]]:

@@ -74,7 +74,7 @@ class Block:
         return self.lines[-1].end
 
 
-_BREAK = re.compile("\r\n|[\n\r\x85  ]")
+_BREAK = re.compile("\r\n|[\n\r\x85\u2028\u2029]")
 _SEPARATOR, _CHAT, _HEADER = re.compile(SEPARATOR_LINE), re.compile(CHAT_LINE), re.compile(HEADER_LINE)
 
 

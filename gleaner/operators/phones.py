@@ -45,7 +45,7 @@ _START = re.compile(r"(?<![0-9A-Za-z@#+])(?<![0-9]:)(?<![0-9A-Za-z]/)(?<![0-9]\.
 _CODE = re.compile(rf"(?:\(\+|\+\()([0-9]{{1,3}})(?:([ \xa0]{{1,2}})([0-9]{{1,4}}))?\)({_SEPARATOR}{{0,2}})(?=[0-9])")
 _BRACKETS, _DIGITS, _SEPARATORS = re.compile(r"\(([0-9]{1,5})\)"), re.compile(r"[0-9]+"), re.compile(rf"{_SEPARATOR}*")
 _FULL_STOP = re.compile(r"\.\s")
-_WORD_BEFORE = re.compile(rf"((?:{_L}|[°º№])+)([ .:#/\-\xa0：　]*)\Z")
+_WORD_BEFORE = re.compile(rf"((?:{_L}|[°º№])+)([ .:#/\-\xa0：\u3000]*)\Z")
 _BLANK = " \xa0\t"
 
 
@@ -442,7 +442,7 @@ class Reader:
         return None
 
     _EXTENSION = re.compile(r"(?:[ \xa0]{0,2},[ \xa0]{0,2}|[ \xa0]{1,2})(?![ \xa0])(?i:extension|ext)\.?[ \xa0]{0,2}([0-9]{1,5})(?![^\W_]|-)")
-    _GOES_ON = re.compile(rf"[^\S\n\r  ]*[/.,‑{re.escape(DASHES)}][^\S\n\r  ]*[0-9]")
+    _GOES_ON = re.compile(rf"[^\S\n\r\u2028\u2029]*[/.,‑{re.escape(DASHES)}][^\S\n\r\u2028\u2029]*[0-9]")
 
     def _expanded(self, e: Entity) -> Entity:
         """A number of the United States with the brackets around it and its extension."""
@@ -493,7 +493,7 @@ class Reader:
 
     def _named_relay(self, at: int, end: int) -> bool:
         """``call the federal information relay service at``, and nothing after it that makes it another number."""
-        clause = re.split(r"[\n\r;:.  ]", self.text[max(0, at - 128) : at])[-1]
+        clause = re.split(r"[\n\r;:.\u2028\u2029]", self.text[max(0, at - 128) : at])[-1]
         words = [w.lower() for w in re.split("[ \xa0]+", clause) if w]
         calls = [k for k, w in enumerate(words) if w in ("call", "dial")]
         if not words or words[-1] != "at" or not calls:
