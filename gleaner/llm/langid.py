@@ -14,14 +14,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, first_of_groups, fold, materialise
+from .common import batch, first_of_groups, fold, materialise, slices
 
 #: Hash buckets that character n-grams share.
 BUCKETS = 1 << 16
 #: Lengths of n-grams.
 ORDERS = 4
 #: Labels that training takes at most, and rows of each; together they bound the sample.
-MAX_LABELS, ROWS_PER_LABEL = 1000, 1000
+MAX_LABELS, ROWS_PER_LABEL = 1000, 500
 UNKNOWN = "und"
 _PART = 1 << 20
 
@@ -73,7 +73,7 @@ class Model:
 
     def features(self, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = (1 + np.log(counts)) * self.idf[at]
-        return np.append(at, BUCKETS), np.append(x / np.sqrt((x * x).sum()), 1.0)
+        return np.append(at.astype(np.int32), np.int32(BUCKETS)), np.append(x / np.sqrt((x * x).sum()), 1.0).astype(np.float32)
 
     def logits(self, at: np.ndarray, counts: np.ndarray) -> np.ndarray:
         i, x = self.features(at, counts)
@@ -147,7 +147,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 
     def run(batches):
         df = np.zeros(BUCKETS + 1, np.int64)
-        for b in batches:
+        for b in slices(batches):
             for text in b.column(0).to_pylist():
                 at, _ = grams(text)
                 if len(at):
@@ -175,14 +175,14 @@ def sample(docs: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> list[tuple[
     ids = materialise(ids.select("doc_id", "lang").distinct(), "sample").withColumnRenamed("lang", "picked")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             found = [grams(t) for t in b.column(2).to_pylist()]
             yield batch(_SAMPLE, b.column(0), b.column(1), [a.astype("<u2").tobytes() for a, _ in found], [c.astype("<f4").tobytes() for _, c in found])
 
     texts = docs.join(F.broadcast(ids), "doc_id").where(F.col("lang") == F.col("picked")).select("doc_id", "lang", "text")
     rows = texts.mapInArrow(run, "doc_id long, lang string, at binary, counts binary").dropDuplicates(["doc_id", "lang"]).collect()
     rows.sort(key=lambda r: (r["lang"], r["doc_id"]))
-    return [(r["lang"], np.frombuffer(r["at"], "<u2").astype(np.int64), np.frombuffer(r["counts"], "<f4").astype(float)) for r in rows if r["at"]]
+    return [(r["lang"], np.frombuffer(r["at"], "<u2"), np.frombuffer(r["counts"], "<f4")) for r in rows if r["at"]]
 
 
 def train(docs: DataFrame, rows_per_label: int = ROWS_PER_LABEL, **penalties) -> Model:
@@ -234,7 +234,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     sent = learn(docs, id_col, text_col, lang_col, folds, left, rows_per_label, **penalties)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             found = [sent.value.predict(t) for t in b.column(2).to_pylist()]
             yield batch(_PREDICTED, b.column(0), b.column(1), [x for x, _ in found], [p for _, p in found])
 
@@ -256,7 +256,7 @@ def keep(docs: DataFrame, least: float = 0.3, text_col: str = "text", **columns)
         return sent.value.predict(text)[1] >= least
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array([known(t) for t in b.column(at).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

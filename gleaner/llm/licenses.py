@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes
+from .common import as_bytes, slices
 
 #: Phrases whose places count as base ones, and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -211,7 +211,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
 
     def run(batches):
         scanner = _scanner(phrases, templates)
-        for b in batches:
+        for b in slices(batches):
             found = [scanner.scan(t) for t in as_bytes(b.column(1))]
             places = [[{"label": x, "base": k, "start": s, "end": e} for x, k, s, e in p] for _, p in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array(places, _FOUND.field(2).type)], schema=_FOUND)

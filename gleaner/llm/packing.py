@@ -13,12 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, slices
 
 #: The byte-level pre-tokenisation that vocabularies of this kind are made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks whose ids each Python worker remembers at once.
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 _SPACED = re.compile(r" \s")
 
 
@@ -40,10 +40,9 @@ class Encoder(dict):
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         super().__init__()
-        self.exact = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
@@ -55,6 +54,13 @@ class Encoder(dict):
             raise ValueError("ids of this vocabulary aren't in the order of its merges")
         self.fast = tiktoken.Encoding("gleaner", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @functools.cached_property
+    def exact(self):
+        """The tokenizer library's own encoder; it takes memory, so it is read when it is needed."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def whole(self, text: str) -> bytes:
         if text.isascii() or max(text) < "ɐ":
             ids = self.fast.encode_ordinary(text)
@@ -104,7 +110,7 @@ def tokenise(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024
 
     def run(batches):
         encode = encoder(tokenizer).encode
-        for b in batches:
+        for b in slices(batches):
             counts, crcs, offsets, ids = [], [], [0], []
             for text in b.column(1).to_pylist():
                 data = (encode(text) if text else b"") + end

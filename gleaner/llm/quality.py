@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, fold, materialise
+from .common import batch, fold, materialise, slices
 
 STATISTICS = (
     "log_chars", "log_words", "word_length", "word_length_sd", "distinct_words", "commonest_word", "adjacent_repeats", "distinct_triples",
@@ -179,7 +179,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """A broadcast model of labelled rows whose crc32(id as text) modulo folds isn't ``left``; one fold more calibrates."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             flat = _matrix(b.column(1).to_pylist()).reshape(-1)
             offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * len(STATISTICS))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.float64()))], schema=_STATS)
@@ -205,7 +205,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sent = learn(docs, labels, id_col, text_col, label_col, folds, left, **fit)
 
     def predict(batches):
-        for b in batches:
+        for b in slices(batches):
             s = sent.value.score(_matrix(b.column(2).to_pylist()))
             yield batch(_SCORED, b.column(0), b.column(1), s, (s >= threshold).astype(np.int32))
 
@@ -218,7 +218,7 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_col: s
     sent, at = learn(docs, labels, text_col=text_col, **params), docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array(sent.value.score(_matrix(b.column(at).to_pylist())) >= threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch, materialise
+from .common import as_bytes, batch, materialise, slices
 from .graph import components
 
 SEED = 42
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp) for every row; fp holds the unsigned bits in a long. Reads two columns, keeps no state."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             found = np.array([fingerprint(t, size) for t in as_bytes(b.column(1))], np.uint64)
             yield batch(_FP, b.column(0), found.view(np.int64))
 
@@ -238,7 +238,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     """
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             found = np.array([fingerprint(t, size) for t in as_bytes(b.column(1))], np.uint64)
             yield batch(_KEYED, b.column(0), found.view(np.int64), b.column(2))
 
