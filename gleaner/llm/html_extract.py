@@ -342,6 +342,19 @@ def _furniture(rng, kind: str) -> str:
 _KINDS = ("nav", "header", "footer", "side", "ad", "notice", "form", "comments", "share")
 
 
+_MARKUP = "b b i em strong span code small sub mark a".split()
+
+
+def _marked_up(rng, text: str) -> str:
+    """Text with a few of its words in inline elements."""
+    words = text.split(" ")
+    for _ in range(int(rng.integers(1, 4))):
+        i = int(rng.integers(0, len(words)))
+        j, tag = min(len(words), i + int(rng.integers(1, 5))), str(rng.choice(_MARKUP))
+        words[i:j] = [f"<{tag}{' href=/x' if tag == 'a' else ''} data-y>{' '.join(words[i:j])}</{tag}>"]
+    return " ".join(words)
+
+
 def _article(rng) -> str:
     parts = []
     if rng.random() < 0.85:
@@ -353,8 +366,8 @@ def _article(rng) -> str:
             text = _sentence(rng, 1 if rng.random() < 0.3 else 6, 120)
             if rng.random() < 0.25:
                 text = f"<b data-y>{text}" + ("<br>" if rng.random() < 0.5 else "</b>")
-            elif rng.random() < 0.2:
-                text += f' <a href="/x" data-y>{_words(rng, 2)}</a> {_words(rng, 3)}'
+            elif rng.random() < 0.4:
+                text = _marked_up(rng, text)
             parts.append(f"<p data-y>{text}" + ("</p>" if rng.random() < 0.8 else ""))
         elif r < 0.74:
             parts.append(_el(rng, str(rng.choice(["h2", "h3"])), "", _words(rng, int(rng.integers(1, 7))), True))
