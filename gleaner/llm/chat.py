@@ -72,7 +72,7 @@ def stale_replies(found: DataFrame, learned: str = "assistant") -> DataFrame:
     positions = F.transform("turns", lambda t, i: F.when(t["role"] == learned, i + 1).otherwise(0))
     last = F.array_max(positions)
     kept = found.withColumn("last", last).where("last > 0").withColumn("chosen", F.expr("slice(turns, 1, last)"))
-    first = F.coalesce(F.filter("turns", lambda t: t["role"] == learned)[0]["text"], F.lit(""))
+    first = F.coalesce(F.get(F.filter("turns", lambda t: t["role"] == learned), F.lit(0))["text"], F.lit(""))
     stale = F.substring(first, F.lit(1), F.floor(F.length(first) / 2).cast("int"))
     ending = F.array(F.struct(F.lit(learned).alias("role"), stale.alias("text")))
     rejected = F.concat(F.expr("slice(chosen, 1, last - 1)"), ending)
