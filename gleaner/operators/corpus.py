@@ -291,7 +291,7 @@ def example(line: str | None) -> dict:
 def examples(lines: DataFrame, keys: list[str], line_col: str = "value", countries: list[str] | None = None) -> DataFrame:
     """(keys, country, language, text, spans, group_key, fingerprint, reason) of tagged lines; those of other countries go before they are parsed."""
     if countries:
-        lines = lines.where(F.lower(F.split(line_col, "\t", 3)[1]).isin([c.lower() for c in countries]))
+        lines = lines.where(F.lower(F.get(F.split(line_col, "\t", 3), F.lit(1))).isin([c.lower() for c in countries]))
     return per_text(lines, [F.col(line_col)], example, EXAMPLE, "example", keys).select(*keys, "example.*")
 
 

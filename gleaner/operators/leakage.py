@@ -43,7 +43,7 @@ def surface_key(kind: Column, value: Column) -> Column:
 
 def without(rows: DataFrame, excluded: DataFrame, keys: list[str]) -> DataFrame:
     """rows that share no key with excluded."""
-    return rows.join(small(excluded.select(*keys).distinct()), keys, "left_anti")
+    return rows.join(small(excluded.select(*keys).distinct()), keys, "left_anti").select(*rows.columns)
 
 
 def families(aliases: DataFrame, observed: DataFrame, family: str = "family", alias: str = "alias") -> DataFrame:

@@ -165,22 +165,30 @@ def review_score(rows: DataFrame, by: str = "kind", verdict: str = "verdict") ->
     return scored.withColumn("accept", (F.col("precision") >= 0.85) & (F.col("recall") >= 0.80))
 
 
+def _by_rank(rows: DataFrame, group: str, value: str, ranks: dict[str, Column]) -> DataFrame:
+    """(group, n, ranks): the values at ranks, from 0, of each group; n is the column of its size.
+
+    Equal values are counted before the shuffle, so that a group costs as many rows as it has distinct values.
+    """
+    counts = rows.groupBy(group, F.col(value).alias("__v")).agg(F.count("*").alias("__c"))
+    order = Window.partitionBy(group)
+    upto = counts.withColumn("n", F.sum("__c").over(order)).withColumn("__end", F.sum("__c").over(order.orderBy("__v")))
+    at = lambda i: F.max(F.when((F.col("__end") - F.col("__c") <= i) & (i < F.col("__end")), F.col("__v")))
+    return upto.groupBy(group).agg(F.max("n").alias("n"), *[at(i).alias(name) for name, i in ranks.items()])
+
+
 def latency(rows: DataFrame, tokens: str, ms: str) -> DataFrame:
-    """(bucket, cases, median_ms): of an even number the upper middle, never a mean. One row of numbers a case reaches a group."""
+    """(bucket, cases, median_ms): of an even number the upper middle, never a mean."""
     bucket = F.lit(LATENCY_BUCKETS[0][1])
     for least, name in LATENCY_BUCKETS[1:]:
         bucket = F.when(F.col(tokens) >= least, name).otherwise(bucket)
-    order = Window.partitionBy("bucket")
-    ranked = rows.select(bucket.alias("bucket"), F.col(ms).alias("ms")).withColumn("n", F.count("*").over(order)).withColumn("i", F.row_number().over(order.orderBy("ms")))
-    return ranked.where(F.col("i") == F.floor(F.col("n") / 2) + 1).select("bucket", F.col("n").alias("cases"), F.round("ms", 4).alias("median_ms"))
+    found = _by_rank(rows.select(bucket.alias("bucket"), F.col(ms).alias("ms")), "bucket", "ms", {"median": F.floor(F.col("n") / 2)})
+    return found.select("bucket", F.col("n").alias("cases"), F.round("median", 4).alias("median_ms"))
 
 
 def stage_timings(rows: DataFrame, stage: str, ms: str) -> DataFrame:
     """(stage, n, median_ms, p95_ms) by rank: element n/2, and element ceil(0.95 n) - 1, from 0."""
-    order = Window.partitionBy(stage)
-    ranked = rows.withColumn("__n", F.count("*").over(order)).withColumn("__i", F.row_number().over(order.orderBy(ms)) - 1)
-    at = lambda i: F.max(F.when(F.col("__i") == i, F.col(ms)))
-    return ranked.groupBy(stage).agg(F.max("__n").alias("n"), at(F.floor(F.col("__n") / 2)).alias("median_ms"), at(F.ceil(F.col("__n") * 0.95) - 1).alias("p95_ms"))
+    return _by_rank(rows, stage, ms, {"median_ms": F.floor(F.col("n") / 2), "p95_ms": F.ceil(F.col("n") * 0.95) - 1})
 
 
 def raw_and_kept(gold: DataFrame, spans: DataFrame, identity: list[str], least: dict[str, float]) -> DataFrame:

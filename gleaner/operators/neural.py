@@ -45,7 +45,7 @@ def read_bundle(data: bytes, checksum: str | None = None) -> tuple[dict[str, str
     body, tensors, at = data[8 + n :], {}, 0
     for name, dtype, shape, begin, end in sorted(entries, key=lambda e: (e[3], e[4])):
         kind = {"I8": np.dtype("i1"), "F32": np.dtype("<f4")}.get(dtype)
-        if kind is None or begin != at or end - begin != kind.itemsize * int(np.prod(shape, dtype=np.int64)):
+        if kind is None or begin != at or end > len(body) or end - begin != kind.itemsize * int(np.prod(shape, dtype=np.int64)):
             raise BundleError(f"tensor {name} has no place")
         tensors[name], at = np.frombuffer(body[begin:end], kind).reshape(shape), end
     if at != len(body):

@@ -25,23 +25,25 @@ def keep_some(name: Column, per_mille: int) -> Column:
     return modulo(fnv1a_halves(name, 0x9E37), 1000) < per_mille
 
 
-def quotas(rows: DataFrame, groups: list[str], order: list[str], quota: int, place_only: Column | None = None, share: float = 0.15, parts: int = 64) -> DataFrame:
-    """The first ``quota`` rows of each group by order, of which at most a share are place-only.
+def first_of(rows: DataFrame, groups: list[str], order: list[str], n: int, parts: int = 64) -> DataFrame:
+    """The first n rows of each group by a total order.
 
-    Ranked within hashed parts of a group first, so that no task ranks all of a large one.
+    Ranked within hashed parts of a group first, so that no task ranks more than parts * n
+    rows of a large one.
     """
-    marked = rows.withColumn("__place", place_only if place_only is not None else F.lit(False))
+    salted = rows.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(parts)))
+    for by in ([*groups, "__part"], groups):
+        salted = salted.withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__rank") <= n)
+    return salted.drop("__part", "__rank")
 
-    def first(frame: DataFrame, keys: list[str], n: int) -> DataFrame:
-        salted = frame.withColumn("__part", F.pmod(F.xxhash64(*order), F.lit(parts)))
-        for by in ([*keys, "__part"], keys):
-            salted = salted.withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("__rank") <= n)
-        return salted.drop("__part", "__rank")
 
-    if place_only is not None:
-        places = first(marked.where("__place"), groups, -(-int(quota * share * 1000) // 1000))
-        marked = marked.where("not __place").unionByName(places)
-    return first(marked, groups, quota).drop("__place")
+def quotas(rows: DataFrame, groups: list[str], order: list[str], quota: int, place_only: Column | None = None, share: float = 0.15) -> DataFrame:
+    """The first ``quota`` rows of each group by order, of which at most a share are place-only."""
+    if place_only is None:
+        return first_of(rows, groups, order, quota)
+    marked = rows.withColumn("__place", place_only)
+    places = first_of(marked.where("__place"), groups, order, -(-int(quota * share * 1000) // 1000))
+    return first_of(marked.where("not __place").unionByName(places), groups, order, quota).drop("__place")
 
 
 def uncovered(rows: DataFrame, groups: list[str], quota: int) -> DataFrame:
@@ -51,9 +53,10 @@ def uncovered(rows: DataFrame, groups: list[str], quota: int) -> DataFrame:
 
 def equal_shares(rows: DataFrame, group: str, id_col: str, total: int, seed: int = 0) -> DataFrame:
     """total rows with equal shares of groups, what small groups leave filled up in hashed order."""
-    mixed = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"))
-    ranked = rows.withColumn("__mix", mixed).withColumn("__rank", F.row_number().over(Window.partitionBy(group).orderBy("__mix", id_col)))
+    mixed = rows.withColumn("__mix", F.xxhash64(F.lit(seed), F.col(id_col).cast("string")))
     n = max(1, rows.select(group).distinct().count())
+    ranked = first_of(mixed, [group], ["__mix", id_col], total)
+    ranked = ranked.withColumn("__rank", F.row_number().over(Window.partitionBy(group).orderBy("__mix", id_col)))
     later = F.when(F.col("__rank") <= total // n, 0).otherwise(1)
     return ranked.orderBy(later, "__mix", id_col).limit(total).drop("__mix", "__rank")
 
@@ -61,8 +64,7 @@ def equal_shares(rows: DataFrame, group: str, id_col: str, total: int, seed: int
 def hash_sample(rows: DataFrame, group: str, id_col: str, n: int, seed: str = "") -> DataFrame:
     """n rows of each group by sha256 of seed, group and id."""
     digest = F.sha2(F.concat_ws(":", F.lit(seed), F.col(group), F.col(id_col).cast("string")), 256)
-    ranked = rows.withColumn("__digest", digest).withColumn("__rank", F.row_number().over(Window.partitionBy(group).orderBy("__digest", id_col)))
-    return ranked.where(F.col("__rank") <= n).drop("__digest", "__rank")
+    return first_of(rows.withColumn("__digest", digest), [group], ["__digest", id_col], n).drop("__digest")
 
 
 def capped_selection(rows: DataFrame, group: str, id_col: str, caps: dict[str, int], total: int, seed: str = "") -> DataFrame:
