@@ -21,6 +21,8 @@ SAMPLE = 8192
 MOST_LISTS = 4096
 #: Rows of a list that one task scans together; larger lists are dealt by a hash.
 BLOCK_ROWS = 8192
+#: Queries that a task meets with them, at most about so many.
+QUERY_BLOCK = 16_384
 
 
 @dataclass
@@ -142,7 +144,8 @@ def search(embeddings: DataFrame, k: int = 20, every: int = 20, id_col: str = "v
     rows of one id are one if their vectors are equal. Empty tables give no rows; other columns are not read.
 
     Equal vectors are one in the index, with their k + 1 least ids: no others can be among
-    anyone's nearest, as ties go to the smaller. Large lists are dealt by a hash, so no task's rows grow with the table.
+    anyone's nearest, as ties go to the smaller. Large lists are dealt by a hash, and so are
+    the queries that probe a list, so that neither side of a task grows with the table.
     """
     spark = embeddings.sparkSession
     base = materialise(vectors(embeddings, id_col, vector_col).distinct(), "vectors")
@@ -175,6 +178,19 @@ def search(embeddings: DataFrame, k: int = 20, every: int = 20, id_col: str = "v
     asked = materialise(asked, "asked")
     wanted = distinct.join(asked.select("rep").distinct(), "rep", "left_semi").select("rep", "vector")
 
+    def lists_of(batches):
+        """How many queries probe each list."""
+        total = np.zeros(MOST_LISTS, np.int64)
+        for b in batches:
+            for s in range(0, b.num_rows, 1024):
+                total += np.bincount(index.value.probe(unpack(b.slice(s, 1024).column(0))).ravel(), minlength=MOST_LISTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["list", "n"])
+
+    counts = wanted.select("vector").mapInArrow(lists_of, "list int, n long").groupBy("list").agg(F.ceil(F.sum("n") / QUERY_BLOCK).cast("int").alias("blocks"))
+    blocks = F.broadcast(materialise(counts, "blocks"))  # at most MOST_LISTS rows
+    rows = rows.join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+
     def probe(batches):
         for b in batches:
             for s in range(0, b.num_rows, 1024):
@@ -187,6 +203,7 @@ def search(embeddings: DataFrame, k: int = 20, every: int = 20, id_col: str = "v
 
     probes = wanted.mapInArrow(probe, "list int, rep long, vector binary, radius double")
     probes = probes.join(parts, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    probes = probes.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         x, ids, found = unpack(left["vector"]), left["ids"].to_pylist(), []
@@ -208,7 +225,8 @@ def search(embeddings: DataFrame, k: int = 20, every: int = 20, id_col: str = "v
                 yield from best_rows(q, c.column(0).to_numpy(), x, index.value.sample_ids, np.repeat(np.arange(len(q)), n), j.ravel(), k + 1).to_batches()
 
     # Queries without rows in a list have nothing to meet there and the other way round.
-    hits = rows.groupBy("list", "part").cogroup(probes.groupBy("list", "part")).applyInArrow(meet, "rep long, score double, vec_id long")
+    keys = ["list", "part", "block"]
+    hits = rows.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInArrow(meet, "rep long, score double, vec_id long")
     hits = hits.unionByName(wanted.mapInArrow(sampled, "rep long, score double, vec_id long")).withColumn("less", -F.col("score"))
     best = first_of_groups(hits, ["rep"], ["less", "vec_id"], 2 * k + 2, salts=1)  # a row may be found both ways
     best = best.groupBy("rep").agg(F.sort_array(F.collect_set(F.struct("less", "vec_id", "score"))).alias("best"))

@@ -15,6 +15,8 @@ BLOCKS = 1024
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 REPEATS = 2
+#: Words of a shard's file, about; shards at least; more of either as a mix grows.
+FILE_WORDS, LEAST_SHARDS = 1 << 24, 16
 #: Rows of a plan that are broadcast; a larger one is joined by a shuffle.
 BROADCAST_ROWS = 500_000
 
@@ -220,27 +222,31 @@ def report(docs: DataFrame, shards: int = 16, seed: int = 0, id_col: str = "doc_
     return _drawn(sized, shards, seed, **shares).select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("draws")).alias("taken"))
 
 
-def mix(docs: DataFrame, shards: int = 16, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **shares) -> DataFrame:
+def mix(docs: DataFrame, shards: int | None = None, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **shares) -> DataFrame:
     """The mix itself: rows of docs, as often as they are taken, dealt by shard and shuffled within; columns unchanged.
 
-    Each partition holds whole shards, so that writing it writes them. Shards are even by
-    construction: no source, however large, fills one.
+    Each partition holds whole files of shards, so that writing it writes them. Shards are
+    even by construction: no source, however large, fills one. Without a number of shards,
+    there are as many as the words ask for, up to one for each block of a source; beyond,
+    a shard has several files, among which its rows are dealt by a hash.
     """
     columns = docs.columns
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
     plain = {c: F.col("row").getField(c) for c in {id_col, text_col, source_col}}
-    light = sizes(docs, id_col, text_col, source_col)
-    sized = materialise(light, "sizes")
-    kept = inner.select("row", *[plain[c].alias(c) for c in plain])
-    keyed = kept.select("row", *_keys(id_col, source_col))
+    sized = materialise(sizes(docs, id_col, text_col, source_col), "sizes")
+    words = shares.get("share", SHARE) * (sized.agg(F.sum("size")).first()[0] or 0)
+    shards = shards or min(BLOCKS, max(LEAST_SHARDS, math.ceil(words / FILE_WORDS)))
+    files = max(1, math.ceil(words / FILE_WORDS / shards))
+    keyed = inner.select("row", *[plain[c].alias(c) for c in plain]).select("row", *_keys(id_col, source_col))
     made = materialise(plan(sized.select("source", "block", "size", "key"), shards, seed, **shares), "plan").where("draws is not null")
     made = made.select(F.col("source").alias("of"), F.col("block").alias("at"), "draws")
     if made.count() <= BROADCAST_ROWS:
         made = F.broadcast(made)
     found = keyed.join(made, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("at")))
     found = found.select("row", "key", F.explode(F.filter("draws", lambda d: (d["cut"] == "") | (F.col("key") <= d["cut"]))).alias("d"))
-    dealt = found.repartition(shards, F.col("d.shard")).sortWithinPartitions(F.col("d.shard"), F.xxhash64(F.lit(seed), "key", F.col("d.pass")), F.col("d.pass"))
-    return dealt.select(*[F.col("row").getField(c).alias(c) for c in columns])
+    mixed = F.xxhash64(F.lit(seed), "key", F.col("d.pass"))
+    dealt = found.withColumn("file", F.pmod(F.xxhash64(F.lit("file"), mixed), F.lit(files))).repartition(shards * files, F.col("d.shard"), F.col("file"))
+    return dealt.sortWithinPartitions(F.col("d.shard"), "file", mixed, F.col("d.pass")).select(*[F.col("row").getField(c).alias(c) for c in columns])
 
 
 def _keys(id_col: str, source_col: str) -> list[Column]:

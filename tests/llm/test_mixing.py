@@ -73,6 +73,15 @@ def test_mix_takes_what_the_report_says(docs):
     assert len(per_shard) > 1
 
 
+def test_shards_follow_the_words(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "FILE_WORDS", 40)
+    monkeypatch.setattr(mixing, "BLOCKS", 20)
+    made = docs(corpus())
+    mixed = mixing.mix(made)
+    assert mixed.rdd.getNumPartitions() > 100
+    assert sum(r["taken"] // r["size"] for r in mixing.report(made).collect() if r["taken"]) == mixed.count()
+
+
 def test_split_adds_up_and_is_even(spark):
     q = [1000, 300, 50, 0, 7]
     for shards in (1, 2, 5, 16):

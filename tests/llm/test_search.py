@@ -89,3 +89,11 @@ def test_neighbours_recall_scores_and_order(spark):
         assert len(a) == 20 and [r for *_, r in a] == list(range(1, 21))
         assert [(-s, i) for i, s, _ in a] == sorted((-s, i) for i, s, _ in a)
         assert all(s == pytest.approx(vectors[q] @ vectors[i], abs=1e-12) for i, s, _ in a)
+
+
+def test_neighbours_in_many_parts_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 20)
+    rows = made(600, seed=8)
+    one = answers(ann.search(spark.createDataFrame(rows, SCHEMA)))
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 3)
+    assert answers(ann.search(spark.createDataFrame(rows, SCHEMA))) == one
