@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import DataType, _parse_datatype_string
 
+from gleaner.tables import spread
+
 
 def _type(ddl: str) -> DataType:
     return _parse_datatype_string(ddl)
@@ -21,7 +23,7 @@ def per_text(rows: DataFrame, columns: list[Column], f: Callable[..., object], d
     f is called with Python values and has to take nulls.
     """
     out, n, m = to_arrow_type(_type(ddl)), len(keep), len(columns)
-    source = rows.select(*[F.col(c) for c in keep], *[c.alias(f"__{i}") for i, c in enumerate(columns)])
+    source = spread(rows.select(*[F.col(c) for c in keep], *[c.alias(f"__{i}") for i, c in enumerate(columns)]))
     schema = ", ".join([*[f"`{c}` {t}" for c, t in source.dtypes[:n]], f"`{name}` {ddl}"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -32,6 +34,38 @@ def per_text(rows: DataFrame, columns: list[Column], f: Callable[..., object], d
     return source.mapInArrow(run, schema)
 
 
+def rows_of_texts(rows: DataFrame, columns: list[Column], f: Callable[..., tuple[list, ...]], fields: str, keep: list[str], position: str) -> DataFrame:
+    """Columns ``keep``, a position and fields: f gives the values of each field of a row's parts, as lists of equal lengths.
+
+    As per_text() and explode_structs() together, but built by columns, for parts as many as tokens.
+    """
+    n, m = len(keep), len(columns)
+    kinds = [to_arrow_type(t.dataType) for t in _type(f"struct<{fields}>").fields]
+    names = [t.name for t in _type(f"struct<{fields}>").fields]
+    source = spread(rows.select(*[F.col(c) for c in keep], *[c.alias(f"__{i}") for i, c in enumerate(columns)]))
+    schema = ", ".join([*[f"`{c}` {t}" for c, t in source.dtypes[:n]], f"`{position}` int", *[f"`{t.name}` {t.dataType.simpleString()}" for t in _type(f"struct<{fields}>").fields]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for s in range(0, whole.num_rows, 256):
+                b = whole.slice(s, 256)
+                found: list[list] = [[] for _ in names]
+                owner: list[int] = []
+                places: list[int] = []
+                for i, row in enumerate(zip(*[b.column(n + k).to_pylist() for k in range(m)], strict=True)):
+                    values = f(*row)
+                    size = len(values[0])
+                    owner += [i] * size
+                    places += range(size)
+                    for column, more in zip(found, values, strict=True):
+                        column += more
+                pick = pa.array(owner, pa.int32())
+                arrays = [pa.array(c, t) for c, t in zip(found, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([*[c.take(pick) for c in b.columns[:n]], pa.array(places, pa.int32()), *arrays], names=[*keep, position, *names])
+
+    return source.mapInArrow(run, schema)
+
+
 def explode_structs(rows: DataFrame, name: str, keep: list[str], position: str | None = None) -> DataFrame:
     """One row for each struct of an array column, its fields as columns."""
     if position:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from gleaner.schema import Component, Entity
 
-from .features import Features, featurize, line_ranges
+from .features import bits_of, featurize, line_ranges
 from .tokens import Token, tokenize
 
 #: Fixed values.
@@ -21,12 +21,12 @@ class Document:
 
     def __init__(self, text: str, country: str | None = None, rule_spans: list[tuple[int, int]] = ()):
         self.tokens: list[Token] = tokenize(text)
-        self.features: list[Features] = featurize(self.tokens, rule_spans, country, ngrams=False)
+        self.flags = [f.flags for f in featurize(self.tokens, rule_spans, country, ngrams=False)]
         self.content = [i for i, t in enumerate(self.tokens) if t.is_content]
         self._rank = {i: k for k, i in enumerate(self.content)}
 
     def has(self, i: int, *names: str) -> bool:
-        return self.features[i].has(*names)
+        return bool(self.flags[i] & bits_of(names))
 
     def alpha(self, i: int) -> bool:
         return self.tokens[i].kind == "alpha"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as texts
+from gleaner.tables import spread, written
 
 
 def keep_first(rows: DataFrame, key: Column, order: list[str]) -> DataFrame:
@@ -40,12 +41,22 @@ def containment_pairs(rows: DataFrame, id_col: str, tokens: Column, size: int =
     nobody's rarest part unless there is nothing else. Shingles are 64-bit hashes.
     Equal sets are compared once, by their least id; members() gives the others.
     """
+    names = [f"__b{i}" for i in range(len(blocks or []))]
+    return _pairs(shingle_sets(rows, id_col, tokens, size, least, blocks), names, threshold, distinct_sets)
+
+
+def shingle_sets(rows: DataFrame, id_col: str, tokens: Column, size: int, least: int, blocks: list[Column] | None = None) -> DataFrame:
+    """(id, blocks, s): sorted sets of ``least`` shingles or more, worked out once."""
     keys = [c.alias(f"__b{i}") for i, c in enumerate(blocks or [])]
-    names = [f"__b{i}" for i in range(len(keys))]
-    sets = rows.select(F.col(id_col).alias("id"), *keys, F.array_sort(texts.shingles(tokens, size)).alias("s")).where(F.size("s") >= least)
+    inner = spread(rows.select(F.col(id_col).alias("id"), *keys, tokens.alias("t")))
+    sets = inner.select("id", *[f"__b{i}" for i in range(len(keys))], F.array_sort(texts.shingles(F.col("t"), size)).alias("s"))
+    return written(sets.where(F.size("s") >= least), "shingles")
+
+
+def _pairs(sets: DataFrame, names: list[str], threshold: float, distinct_sets: bool) -> DataFrame:
     if distinct_sets:
         sets = sets.groupBy("s", *names).agg(F.min("id").alias("id"))
-    sets = sets.withColumn("n", F.size("s"))
+    sets = written(sets.withColumn("n", F.size("s")), "sets")
     flat = sets.select("id", "n", *names, F.explode("s").alias("h"))
     frequency = flat.groupBy("h", *names).agg(F.count("*").alias("df"))
     rank = Window.partitionBy("id", *names).orderBy("df", "h")
@@ -60,20 +71,22 @@ def containment_pairs(rows: DataFrame, id_col: str, tokens: Column, size: int =
     return kept.select(F.least("a", "b").alias("id"), F.greatest("a", "b").alias("other"), "shared")
 
 
-def members(rows: DataFrame, id_col: str, tokens: Column, size: int = 7, least: int = 5) -> DataFrame:
-    """(id, representative): the least id with an equal set of shingles."""
-    sets = rows.select(F.col(id_col).alias("id"), F.array_sort(texts.shingles(tokens, size)).alias("s")).where(F.size("s") >= least)
+def _members(sets: DataFrame) -> DataFrame:
     keyed = sets.select("id", F.xxhash64("s").alias("k"), F.size("s").alias("n"))
     reps = keyed.groupBy("k", "n").agg(F.min("id").alias("representative"))
     return keyed.join(reps, ["k", "n"]).select("id", "representative")
 
 
-def near_duplicates(rows: DataFrame, id_col: str, tokens: Column, **params) -> DataFrame:
+def members(rows: DataFrame, id_col: str, tokens: Column, size: int = 7, least: int = 5) -> DataFrame:
+    """(id, representative): the least id with an equal set of shingles."""
+    return _members(shingle_sets(rows, id_col, tokens, size, least))
+
+
+def near_duplicates(rows: DataFrame, id_col: str, tokens: Column, size: int = 7, threshold: float = 0.80, least: int = 5) -> DataFrame:
     """(id, prior): rows with an earlier one that they share enough with, and the earliest of those."""
-    pairs = containment_pairs(rows, id_col, tokens, **params)
-    belongs = members(rows, id_col, tokens, params.get("size", 7), params.get("least", 5))
-    by_set = pairs.groupBy(F.col("other").alias("representative")).agg(F.min("id").alias("earlier"))
-    found = belongs.join(by_set, "representative", "left")
+    sets = shingle_sets(rows, id_col, tokens, size, least)
+    by_set = _pairs(sets, [], threshold, True).groupBy(F.col("other").alias("representative")).agg(F.min("id").alias("earlier"))
+    found = _members(sets).join(by_set, "representative", "left")
     own = F.when(F.col("representative") < F.col("id"), F.col("representative"))
     return found.select("id", F.least(own, "earlier").alias("prior")).where("prior is not null")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as texts
+from gleaner.tables import spread
 
 #: Rows of a side that is broadcast; a larger one is shuffled.
 BROADCAST_ROWS = 2_000_000
@@ -22,7 +23,7 @@ def prose_overlap(docs: DataFrame, gold: DataFrame, doc_id: str, gold_id: str, d
     Windows are exploded within the map side of the join; a checked number of gold windows
     is broadcast, so that documents' windows aren't shuffled. Each pair counts once.
     """
-    left = docs.select(F.col(doc_id).alias("doc"), F.explode(texts.shingles(texts.ascii_words(F.col(doc_text)), size)).alias("h"))
+    left = spread(docs.select(F.col(doc_id).alias("doc"), F.col(doc_text).alias("t"))).select("doc", F.explode(texts.shingles(texts.ascii_words(F.col("t")), size)).alias("h"))
     right = gold.select(F.col(gold_id).alias("item"), F.explode(texts.shingles(texts.ascii_words(F.col(gold_text)), size)).alias("h"))
     pairs = left.join(small(right), "h").select("doc", "item").distinct()
     return pairs.groupBy("doc").agg(F.array_sort(F.collect_list("item")).alias("items")).withColumnRenamed("doc", doc_id)

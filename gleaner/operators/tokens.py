@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from typing import NamedTuple
 
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.arrow import explode_structs, per_text
+from gleaner.arrow import rows_of_texts
 from gleaner.functions.offsets import byte_offsets
 from gleaner.functions.unicode import SCRIPTS, classify
-from gleaner.schema import TOKEN
 
 _LETTER = {
     "newline": "n", "space": "s", "digit": "d", "wide_digit": "e", "arabic_digit": "f", "combining": "c", "punct": "p", "other": "o",
@@ -43,8 +42,7 @@ def _words() -> str:
 _TOKEN = re.compile(rf"rn|[rn]|s[sc]*|o[oc]*|c[co]*|(?:{_words()})|[pjt]c*")
 
 
-@dataclass(frozen=True)
-class Token:
+class Token(NamedTuple):
     start: int
     end: int
     kind: str
@@ -90,10 +88,11 @@ def normalise(text: str) -> str:
 def tokens(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFrame:
     """One row a token: (keys, pos, start, end, class, script)."""
 
-    def of(text: str | None) -> list[dict]:
-        return [{"start": t.start, "end": t.end, "class": t.kind, "script": t.script} for t in tokenize(text or "")]
+    def of(text: str | None) -> tuple[list, ...]:
+        found = tokenize(text or "")
+        return [t.start for t in found], [t.end for t in found], [t.kind for t in found], [t.script for t in found]
 
-    return explode_structs(per_text(docs, [F.col(text_col)], of, f"array<{TOKEN}>", "tokens", keys), "tokens", keys, "pos")
+    return rows_of_texts(docs, [F.col(text_col)], of, "start int, end int, class string, script string", keys, "pos")
 
 
 def dominant_script(rows: DataFrame, keys: list[str]) -> DataFrame:
