@@ -25,7 +25,10 @@ class Draw:
 
     def uniform(self) -> float:
         self.n += 1
-        return (fnv1a(f"{self.key}/{self.n}".encode()) >> 11) / float(1 << 53)
+        h = fnv1a(f"{self.key}/{self.n}".encode())  # a last byte reaches few of its high bits, so it is mixed
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ h >> shift) * factor & 0xFFFFFFFFFFFFFFFF
+        return ((h ^ h >> 31) >> 11) / float(1 << 53)
 
     def below(self, n: int) -> int:
         return int(self.uniform() * n)
