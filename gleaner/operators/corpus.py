@@ -23,6 +23,12 @@ TAGS = {
 ROAD_TYPES = "road street avenue drive lane place court close crescent terrace gardens boulevard parkway highway square circle".split()
 SHORT_TYPES = frozenset("rd st str la cr ave av dr ln pl ct cl cres ter terr gdns blvd pkwy hwy sq cir park garden high".split())
 LETTERED = frozenset("avenue ave road rd highway hwy route county street st lane".split())
+STATISTICAL_REGIONS = frozenset(
+    (
+        "north east england", "north west england", "yorkshire and the humber", "east midlands", "west midlands", "east of england", "south east", "south east england",
+        "south west england", "south west", "north west", "north east", "w midlands", "wst midlands", "e midlands", "w mids", "e mids", "west mids", "east mids",
+    )
+)
 BOROUGHS = frozenset(("manhattan", "brooklyn", "queens", "the bronx", "bronx", "staten island"))
 ABBREVIATIONS = {
     "GB": "street=st road=rd avenue=ave lane=ln drive=dr court=ct place=pl square=sq crescent=cres gardens=gdns terrace=terr",
@@ -137,6 +143,12 @@ def pieces_of(language: str, country: str, pairs: list[tuple[str, str]]) -> Piec
     return made
 
 
+def _without(p: Pieces, unwanted) -> Pieces:
+    """Pieces but for unwanted ones, each gone with the separator after it, the last with the one before."""
+    kept = [k for k, i in enumerate(p.items) if not unwanted(i)]
+    return Pieces([p.items[k] for k in kept], [p.seps[b - 1] for b in kept[1:]])
+
+
 def normalise_source(country: str, p: Pieces) -> Pieces:
     """Fixes what a source writes as nobody does; the rules of the United States and Great Britain, and what rules rows of others out."""
     if country in ("GB", "US"):
@@ -148,10 +160,16 @@ def normalise_source(country: str, p: Pieces) -> Pieces:
     if country == "US" and not p.has("city"):
         p = Pieces([replace(i, label="city") if i.label == "district" and i.text.lower().rstrip(".") in BOROUGHS else i for i in p.items], p.seps)
     if country == "GB":
+        p = _without(p, lambda i: i.label == "district" and i.text.lower().rstrip(".") in STATISTICAL_REGIONS)
         for c in range(len(p.items) - 1):
             if (p.items[c].label, p.items[c + 1].label) == ("country", "postcode"):
                 p.items[c], p.items[c + 1] = p.items[c + 1], p.items[c]
                 break
+        at = next((k for k, i in enumerate(p.items) if i.label == "country"), 0)
+        if at and p.seps[at - 1] == " ":
+            p.seps[at - 1] = "\n"
+        if not any(i.label for i in p.items):
+            raise Rejected("no_component")
     if country == "GE":
         if any(i.label == "country" and i.text == "AB" for i in p.items):
             raise Rejected("foreign_country")

@@ -105,6 +105,14 @@ def predictions(spark: SparkSession, path: str, cases: DataFrame) -> DataFrame:
     return align(cases, rows, "name", "entities")
 
 
+def external(rows: DataFrame, kinds: dict[str, str], text_col: str = "text", spans_col: str = "entities") -> DataFrame:
+    """Spans of another recogniser (kind, start, end in characters) as ours: kinds mapped, unmapped ones left out, offsets in bytes."""
+    ours = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])
+    at = lambda c: F.octet_length(F.substring(F.col(text_col), F.lit(1), c)).cast("int")
+    known = F.filter(spans_col, lambda s: s["kind"].isin(list(kinds)))
+    return rows.withColumn(spans_col, F.transform(known, lambda s: F.struct(ours[s["kind"]].alias("kind"), at(s["start"]).alias("start"), at(s["end"]).alias("end"))))
+
+
 def organizations(spark: SparkSession, path: str, jurisdiction: str) -> DataFrame:
     """(country, name) of active entities of a jurisdiction in a register's CSV: no funds, branches or sole proprietors, the first of equal names."""
     from gleaner.operators.dedup import keep_first
@@ -120,12 +128,12 @@ def organizations(spark: SparkSession, path: str, jurisdiction: str) -> DataFram
 
 
 def legal_forms(spark: SparkSession, path: str) -> DataFrame:
-    """(code, forms): abbreviations of each legal form in file order, local before transliterated, each once."""
+    """(code, forms): abbreviations of each legal form in file order, a row's local ones before its transliterated ones, each once."""
     rows = spark.read.option("header", True).csv(path).withColumn("line_no", F.monotonically_increasing_id())
-    split = lambda c, rank: F.transform(F.split(F.coalesce(F.col(c), F.lit("")), ";"), lambda x: F.struct(F.lit(rank).alias("rank"), F.trim(x).alias("form")))
-    both = F.concat(split("Abbreviations Local language", 0), split("Abbreviations transliterated", 1))
-    flat = rows.select(F.col("ELF Code").alias("code"), "line_no", F.posexplode(both).alias("pos", "f")).where("f.form <> ''")
-    first = flat.groupBy("code", "f.form").agg(F.min(F.struct("f.rank", "line_no", "pos")).alias("at"))
+    split = lambda c: F.transform(F.split(F.coalesce(F.col(c), F.lit("")), ";"), lambda x: F.trim(x))
+    both = F.concat(split("Abbreviations Local language"), split("Abbreviations transliterated"))
+    flat = rows.select(F.col("ELF Code").alias("code"), "line_no", F.posexplode(both).alias("pos", "form")).where("form <> ''")
+    first = flat.groupBy("code", "form").agg(F.min(F.struct("line_no", "pos")).alias("at"))
     return first.groupBy("code").agg(F.array_sort(F.collect_list(F.struct("at", "form"))).alias("all")).select("code", F.transform("all", lambda x: x["form"]).alias("forms"))
 
 

@@ -275,6 +275,21 @@ def test_readers(spark, tmp_path):
             readers.requests(spark, put("badreq", bad))
 
 
+def test_external_spans_and_registers(spark, tmp_path):
+    rows = spark.createDataFrame([("é Ana", [("PER", 2, 5), ("MISC", 0, 1)])], "text string, entities array<struct<kind:string,start:int,end:int>>")
+    assert [tuple(e) for e in readers.external(rows, {"PER": "person"}).first()["entities"]] == [("person", 3, 6)]
+    head = "Entity.LegalName,Entity.EntityStatus,Entity.LegalJurisdiction,Entity.EntityCategory"
+    (tmp_path / "r.csv").write_text("\n".join([head, "ACME Ltd,ACTIVE,US-DE,", "Acme LTD,ACTIVE,US,GENERAL", "Gone,INACTIVE,US,", "A Fund,ACTIVE,US,FUND", "Other,ACTIVE,GB,", "The LEI,ACTIVE,US,"]))
+    assert values(readers.organizations(spark, str(tmp_path / "r.csv"), "US")) == [("US", "ACME Ltd")]
+    (tmp_path / "f.csv").write_text("ELF Code,Abbreviations Local language,Abbreviations transliterated\nX1,Ltd;Ltd.,ltd\nX1,,Ltd;L.\nX2,,\n")
+    assert values(readers.legal_forms(spark, str(tmp_path / "f.csv"))) == [("X1", ["Ltd", "Ltd.", "ltd", "L."])]
+
+
+def test_british_source_rules():
+    p = corpus.pieces_of("en", "gb", [("1", "house_number"), ("Elm", "road"), ("Road", "road"), ("Leeds", "city"), ("West", "state_district"), ("Midlands", "state_district"), ("UK", "country"), ("LS1", "postcode")])
+    assert corpus.render(corpus.normalise_source("GB", p))[0] == "1 Elm Road Leeds LS1\nUK"
+
+
 def test_stream_gives_the_rows_of_a_table(spark, tmp_path):
     docs = spark.createDataFrame([(1, TEXT), (2, None), (3, "a@b.com")], "doc_id long, text string")
     docs.repartition(2).write.parquet(str(tmp_path / "in"))
