@@ -30,7 +30,7 @@ _PAIRS = (
     ("GB", "postcode", re.compile(r"[A-Z]{1,2}[0-9][0-9A-Z]? [0-9][A-Z]{2}")),
     ("NL", "postcode", re.compile(r"[0-9]{4} [A-Z]{2}")),
 )
-_WORD, _FIVE = re.compile(r"\S+"), re.compile(r"[0-9]{5}")
+_WORD, _FIVE, _DIGIT = re.compile(r"\S+"), re.compile(r"[0-9]{5}"), re.compile("[0-9]")
 _SCRIPTS = (("GE", re.compile("[Ⴀ-ჿ]")), ("JP", re.compile("[぀-ヿ]")))
 _LATIN = {n: all(c < "ɐ" for c in n) for n in NAMES}
 _ANY_NAME = re.compile("|".join(map(re.escape, NAMES)))
@@ -51,7 +51,7 @@ def evidence(text: str | None) -> list[tuple[str, str, int]]:
             if region := DOMAINS.get(e.normalized.rsplit(".", 1)[-1]):
                 found.append((region, "domain", place[e.start]))
     before = None
-    for m in _WORD.finditer(text):
+    for m in _WORD.finditer(text) if _DIGIT.search(text) else ():
         word = m[0].strip(",.;:()")
         if before:
             pair = f"{before[1]} {word}"
@@ -60,7 +60,7 @@ def evidence(text: str | None) -> list[tuple[str, str, int]]:
                 found.append((*shape, before[0]))
             elif _FIVE.fullmatch(before[1]) and _town(word):
                 found.append(("DE", "loose_postcode", before[0]))
-        before = (m.start(), word) if any(c.isdigit() for c in word) or word in STATES else None
+        before = (m.start(), word) if _DIGIT.search(word) or word in STATES else None
     found += [("JP", "postcode", m.start()) for m in re.finditer("〒", text)]
     for region, pattern in _SCRIPTS:
         signs = [m.start() for m in pattern.finditer(text)]
