@@ -449,3 +449,64 @@ def utf16_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = docs.select("doc_id", "text", F.explode(matches(F.col("text"), _RUN)).alias("m"))
     return found.select("doc_id", F.col("m.start").alias("start"), utf16_offset(F.col("text"), F.col("m.start")).alias("utf16_start"))
+
+
+@query(
+    f"""WITH {_offsets_sql("p", _RUN)}, {_offsets_sql("e", _DIGITS)}
+SELECT doc_id, start, start + CAST(strlen(text) AS INTEGER) AS "end", text FROM p WHERE EXISTS (
+  SELECT 1 FROM e WHERE e.doc_id = p.doc_id AND e.start <= p.start AND p.start + strlen(p.text) <= e.start + strlen(e.text))"""
+)
+def mask_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of digits that lie inside a run that looks like a phone number: an interval semi-join."""
+    docs = _table(spark, sf_dir, "documents")
+    return rules.semi_overlap(_offsets(docs, _RUN), _offsets(docs, _DIGITS), ["doc_id"], inside=True)
+
+
+@query(
+    """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+SELECT event_type, n, max(CASE WHEN i = n // 2 THEN value END) AS median_ms, max(CASE WHEN i = CAST(ceil(n * 0.95) AS BIGINT) - 1 THEN value END) AS p95_ms FROM r GROUP BY event_type, n"""
+)
+def stage_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians and 95th percentiles by rank, of the values of events."""
+    return metrics.stage_timings(_table(spark, sf_dir, "events").where("value is not null"), "event_type", "value")
+
+
+@query(
+    f"""WITH {_SPANS_SQL},
+f AS (SELECT DISTINCT p.doc_id, p.kind FROM pred AS p WHERE NOT EXISTS (SELECT 1 FROM gold AS g WHERE g.doc_id = p.doc_id AND g.kind = p.kind AND p.start < g."end" AND g.start < p."end"))
+SELECT kind, count(*) AS docs, round(count(*) / CAST((SELECT count(*) FROM documents) AS DOUBLE), 4) AS rate FROM f GROUP BY kind"""
+)
+def false_positive_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a prediction that overlaps nothing of its kind, as a share of all."""
+    gold, predicted = _spans(spark, sf_dir)
+    return metrics.false_positive_rate(gold, predicted, _table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query(
+    f"""WITH {_SPANS_SQL},
+kept AS (SELECT doc_id, kind, start, "end", row_number() OVER (PARTITION BY doc_id, kind, start, "end") AS k FROM pred WHERE start % 100 / 100.0 >= CASE kind WHEN 'org' THEN 0.8 ELSE 0.85 END),
+khits AS (SELECT p.kind, CASE WHEN g.m IS NULL THEN 0 ELSE 1 END AS matched FROM kept AS p LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, start, "end") AS m FROM gold) AS g
+  ON g.doc_id = p.doc_id AND g.kind = p.kind AND g.start = p.start AND g."end" = p."end" AND g.m = p.k)
+SELECT kind, (SELECT count(*) FROM gold AS g WHERE g.kind = k.kind) AS gold, (SELECT CAST(coalesce(sum(matched), 0) AS BIGINT) FROM hits AS h WHERE h.kind = k.kind) AS raw_tp,
+  (SELECT count(*) FROM hits AS h WHERE h.kind = k.kind) AS raw_predicted, (SELECT CAST(coalesce(sum(matched), 0) AS BIGINT) FROM khits AS h WHERE h.kind = k.kind) AS kept_tp,
+  (SELECT count(*) FROM khits AS h WHERE h.kind = k.kind) AS kept_predicted FROM (SELECT DISTINCT kind FROM gold) AS k"""
+)
+def raw_and_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact counts of all predictions and of those at their kind's cutoff, with a stand-in confidence."""
+    gold, predicted = _spans(spark, sf_dir)
+    sure = predicted.withColumn("confidence", F.col("start") % 100 / 100.0)
+    found = metrics.raw_and_kept(gold, sure, ["doc_id", "kind", "start", "end"], {"org": 0.8, "person": 0.85})
+    return found.select("kind", "gold", "raw_tp", "raw_predicted", "kept_tp", "kept_predicted")
+
+
+@query(
+    """WITH c AS (SELECT conv_id, min(turn) AS t FROM conversations GROUP BY 1),
+o AS (SELECT DISTINCT conv_id, regexp_replace(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g') AS key FROM conversations JOIN c USING (conv_id) WHERE turn = t)
+SELECT key, count(*) AS n, min(conv_id) AS first FROM o GROUP BY key"""
+)
+def opening_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Opening turns of conversations by their surface, and how many share each."""
+    rows = _table(spark, sf_dir, "conversations")
+    first = rows.groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("t"))
+    keyed = first.select("conv_id", leakage.surface_key(F.lit("org"), F.col("t.text")).alias("key"))
+    return keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("conv_id").alias("first"))
