@@ -163,7 +163,7 @@ def train(rows: DataFrame, features: int = 256, ridge: float = 1e-3, width: floa
     return model
 
 
-_STATS = pa.schema([("doc_id", pa.int64()), ("x", pa.list_(pa.float64()))])
+_STATS = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("x", pa.list_(pa.float64()))])
 _SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa.float64()), ("predicted", pa.int32())])
 
 
@@ -175,21 +175,25 @@ def _matrix(texts: list[str | None]) -> np.ndarray:
     return np.array([statistics(t) for t in texts]).reshape(-1, len(STATISTICS))
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, left: int = 0, **fit):
-    """A broadcast model of labelled rows whose crc32(id as text) modulo folds isn't ``left``; one fold more calibrates."""
+def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, left: int = 0) -> DataFrame:
+    """(doc_id, held_out, x): the statistics of every whole text."""
 
     def run(batches):
         for b in slices(batches):
-            flat = _matrix(b.column(1).to_pylist()).reshape(-1)
+            flat = _matrix(b.column(2).to_pylist()).reshape(-1)
             offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * len(STATISTICS))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.float64()))], schema=_STATS)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.float64()))], schema=_STATS)
 
-    seen = ~held_out(id_col, folds, left)
-    stats = docs.where(seen).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, x array<double>")
-    known = labels.where(seen).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label is not null")
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col, folds, left).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    return source.mapInArrow(run, "doc_id long, held_out boolean, x array<double>")
+
+
+def learn(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", folds: int = 5, left: int = 0, **fit):
+    """A broadcast model of measured, labelled rows that aren't held out; one fold more calibrates."""
+    known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).where("label is not null")
     calibrates = fold("doc_id", folds) == (left + 1) % folds
-    rows = stats.join(known, "doc_id").select("x", "label", calibrates.alias("calibrates"))
-    return docs.sparkSession.sparkContext.broadcast(train(materialise(rows, "labelled"), **fit))
+    rows = stats.where("not held_out").join(known, "doc_id").select("x", "label", calibrates.alias("calibrates"))
+    return stats.sparkSession.sparkContext.broadcast(train(materialise(rows, "labelled"), **fit))
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, left: int = 0, threshold: float = 0.3, **fit) -> DataFrame:
@@ -202,20 +206,22 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     every score is 0.5. Rows of a null id or label teach nothing; repeated rows are each
     scored, alike; an empty table gives no rows; other columns are not read.
     """
-    sent = learn(docs, labels, id_col, text_col, label_col, folds, left, **fit)
+    stats = materialise(measured(docs, id_col, text_col, folds, left), "statistics")
+    sent = learn(stats, labels, id_col, label_col, folds, left, **fit)
 
     def predict(batches):
-        for b in slices(batches):
-            s = sent.value.score(_matrix(b.column(2).to_pylist()))
+        for b in batches:
+            x = b.column(2).flatten().to_numpy().reshape(-1, len(STATISTICS))
+            s = sent.value.score(x) if len(x) else np.zeros(0)
             yield batch(_SCORED, b.column(0), b.column(1), s, (s >= threshold).astype(np.int32))
 
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col, folds, left).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(predict, "doc_id long, held_out boolean, score double, predicted int")
+    return stats.mapInArrow(predict, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, text_col: str = "text", **params) -> DataFrame:
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, left: int = 0, **fit) -> DataFrame:
     """Rows of docs that score ``threshold`` or more; columns are unchanged, whatever their names, and no text is shuffled."""
-    sent, at = learn(docs, labels, text_col=text_col, **params), docs.columns.index(text_col)
+    stats = measured(docs.where(~held_out(id_col, folds, left)), id_col, text_col, folds, left)
+    sent, at = learn(stats, labels, id_col, folds=folds, left=left, **fit), docs.columns.index(text_col)
 
     def run(batches):
         for b in slices(batches):
