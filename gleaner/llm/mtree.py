@@ -97,7 +97,6 @@ class Subtree:
         sizes = [0 if m is None else len(i) for m, _, i in held]
         self.base = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
         self.ids = [i for m, _, own in held if m is not None for i in own]
-        self.x = np.concatenate([leaf[0] for leaf in self.leaf if leaf is not None])
         self.computed = 0
 
     def search(self, q: np.ndarray, least: int | None, k: int) -> tuple[np.ndarray, np.ndarray]:
