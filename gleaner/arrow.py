@@ -27,9 +27,11 @@ def per_text(rows: DataFrame, columns: list[Column], f: Callable[..., object], d
     schema = ", ".join([*[f"`{c}` {t}" for c, t in source.dtypes[:n]], f"`{name}` {ddl}"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            values = [f(*row) for row in zip(*[b.column(n + i).to_pylist() for i in range(m)], strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(values, out)], names=[*keep, name])
+        for whole in batches:
+            for s in range(0, whole.num_rows, 512):  # few texts are Python strings at a time
+                b = whole.slice(s, 512)
+                values = [f(*row) for row in zip(*[b.column(n + i).to_pylist() for i in range(m)], strict=True)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(values, out)], names=[*keep, name])
 
     return source.mapInArrow(run, schema)
 
