@@ -150,7 +150,7 @@ def _without(p: Pieces, unwanted) -> Pieces:
 
 
 def normalise_source(country: str, p: Pieces) -> Pieces:
-    """Fixes what a source writes as nobody does; the rules of the United States and Great Britain, and what rules rows of others out."""
+    """Fixes what a source writes as nobody does; and what rules a row out, by country."""
     if country in ("GB", "US"):
         for road in (i.text.split() for i in p.items if i.label == "road"):
             last, before = road[-1].lower().rstrip("."), road[-2].lower().rstrip(".") if len(road) > 1 else ""
@@ -175,6 +175,12 @@ def normalise_source(country: str, p: Pieces) -> Pieces:
             raise Rejected("foreign_country")
         if any(i.label == "road" and (len(i.text) > 80 or ": " in i.text) for i in p.items):
             raise Rejected("mislabelled")
+    if country == "JP":
+        from . import japanese
+
+        p = japanese.normalise(p)
+        if not any(i.label for i in p.items):
+            raise Rejected("no_component")
     if country == "DE":
         for k, i in enumerate(p.items):
             if i.label == "postcode" and (m := re.match("DE?-", i.text)):

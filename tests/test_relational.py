@@ -290,6 +290,23 @@ def test_british_source_rules():
     assert corpus.render(corpus.normalise_source("GB", p))[0] == "1 Elm Road Leeds LS1\nUK"
 
 
+def test_japanese_source_rules():
+    def written(*pairs):
+        return corpus.render(corpus.normalise_source("JP", corpus.Pieces([corpus.Piece(k, t) for k, t in pairs], [" "] * (len(pairs) - 1))))
+
+    text, spans = written(("house_number", "5-1"), ("suburb", "３丁目"), ("road", "栄"), ("city", "名古屋市中区"), ("region", "愛知"), ("postcode", "460-0008"), ("country", "日本"))
+    assert text == "日本 460-0008 愛知県名古屋市中区栄３丁目5-1"
+    assert [k for k, _, _ in spans] == ["country", "postcode", "region", "city", "district", "suburb", "house_number"]
+    assert written(("road", "銀座4"), ("suburb", "銀座"), ("city", "中央区"), ("region", "東京都"))[0] == "東京都中央区銀座4"
+    assert written(("city", "東京都調布市"), ("region", "関東地方"), ("house_number", "7"))[0] == "東京都調布市7"
+    assert sorted(k for k, _, _ in written(("city", "中川郡池田町"))[1]) == ["city", "district"]
+    assert written(("house_number", "1"), ("road", "職安通り"), ("city", "新宿区"), ("region", "東京都"))[0] == "東京都新宿区職安通り1"
+    assert written(("house_number", "2-1"), ("road", "Maruyama-cho"), ("city", "Kyoto"))[1][1][0] == "suburb"
+    for bad, reason in (([("country", "にほん")], "kana_reading"), ([("house_number", "東京1")], "mislabelled"), ([("city", "横浜市戸塚")], "mislabelled")):
+        with pytest.raises(corpus.Rejected, match=reason):
+            written(*bad)
+
+
 def test_stream_gives_the_rows_of_a_table(spark, tmp_path):
     docs = spark.createDataFrame([(1, TEXT), (2, None), (3, "a@b.com")], "doc_id long, text string")
     docs.repartition(2).write.parquet(str(tmp_path / "in"))
