@@ -50,6 +50,17 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
+#: Rows of an Arrow batch where rows hold whole texts; Spark's own default of ten thousand takes up to 64 MB, several times over.
+TEXT_ROWS = 2000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Lets the session send texts to Python in smaller batches, unless it has a size of its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, TEXT_ROWS)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Batches of at most ``rows`` rows, so that few texts are Python strings at a time."""
     for b in batches:

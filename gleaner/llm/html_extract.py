@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, text_batches
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 _NAMES = re.compile(r"(?:^|\s)(?:class|id|role|itemprop|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
@@ -471,6 +471,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     code points. Repeated rows are each extracted; ids and urls may be null; an empty
     table gives no rows; other columns are not read.
     """
+    text_batches(pages.sparkSession)
     sent = pages.sparkSession.sparkContext.broadcast(forest or train())
 
     def run(batches):

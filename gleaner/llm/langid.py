@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, first_of_groups, fold, materialise, slices
+from .common import batch, first_of_groups, fold, materialise, slices, text_batches
 
 #: Hash buckets that character n-grams share.
 BUCKETS = 1 << 16
@@ -216,6 +216,7 @@ def held_out(id_col: str = "doc_id", folds: int = 4, left: int = 2) -> Column:
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, left: int = 2, rows_per_label: int = ROWS_PER_LABEL, **penalties):
     """A broadcast model of the text and non-null language of rows whose crc32(id as text) modulo folds isn't ``left``."""
+    text_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     model = train(source.where(~held_out("doc_id", folds, left)), rows_per_label, **penalties)
     model.weights = model.weights.astype(np.float32)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, slices
+from .common import as_bytes, slices, text_batches
 
 #: Phrases whose places count as base ones, and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
@@ -207,6 +207,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
     right. Null and empty texts have no words and no places; repeated rows are each
     scanned; ids may be null; an empty table gives no rows; other columns are not read.
     """
+    text_batches(docs.sparkSession)
     phrases, templates = tuple(map(tuple, phrases)), tuple(map(tuple, templates))
 
     def run(batches):

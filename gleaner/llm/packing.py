@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, slices
+from .common import materialise, slices, text_batches
 
 #: The byte-level pre-tokenisation that vocabularies of this kind are made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -106,6 +106,7 @@ _TOKENS = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("crcs",
 
 def tokenise(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, crcs, ids): token counts with the end id, a crc32 for each piece, and the ids if asked for."""
+    text_batches(docs.sparkSession)
     tokenizer, end = tokenizer or default_tokenizer(), np.array([end_id], "<u4").tobytes()
 
     def run(batches):

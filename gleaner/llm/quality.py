@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, fold, materialise, slices
+from .common import batch, fold, materialise, slices, text_batches
 
 STATISTICS = (
     "log_chars", "log_words", "word_length", "word_length_sd", "distinct_words", "commonest_word", "adjacent_repeats", "distinct_triples",
@@ -177,6 +177,7 @@ def _matrix(texts: list[str | None]) -> np.ndarray:
 
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, left: int = 0) -> DataFrame:
     """(doc_id, held_out, x): the statistics of every whole text."""
+    text_batches(docs.sparkSession)
 
     def run(batches):
         for b in slices(batches):

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, batch, materialise, slices
+from .common import as_bytes, batch, materialise, slices, text_batches
 from .graph import components
 
 SEED = 42
@@ -46,6 +46,7 @@ _FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4) -> DataFrame:
     """(doc_id, fp) for every row; fp holds the unsigned bits in a long. Reads two columns, keeps no state."""
+    text_batches(docs.sparkSession)
 
     def run(batches):
         for b in slices(batches):
@@ -242,6 +243,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
             found = np.array([fingerprint(t, size) for t in as_bytes(b.column(1))], np.uint64)
             yield batch(_KEYED, b.column(0), found.view(np.int64), b.column(2))
 
+    text_batches(docs.sparkSession)
     names, doc_id, text = docs.columns, F.col(id_col).cast("long"), F.col(text_col).cast("string")
     keyed = docs.select(doc_id.alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("body")).mapInArrow(run, "doc_id long, fp long, body long")
     fps = materialise(keyed, "fingerprints")
