@@ -6,7 +6,9 @@ import functools
 import json
 import math
 import re
+import sys
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,7 @@ from .common import materialise, slices, text_batches
 #: The byte-level pre-tokenisation that vocabularies of this kind are made with.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks whose ids each Python worker remembers at once.
-REMEMBERED = 100_000
+REMEMBERED = 300_000
 _SPACED = re.compile(r" \s")
 
 
@@ -29,6 +31,13 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+def _packed(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit bytes."""
+    if sys.byteorder == "little":
+        return array("I", ids).tobytes()
+    return np.array(ids, "<u4").tobytes()
+
+
 class Encoder(dict):
     """Ids of texts, as little-endian unsigned 32-bit bytes, equal to the tokenizer file's own.
 
@@ -66,7 +75,7 @@ class Encoder(dict):
             ids = self.fast.encode_ordinary(text)
         else:
             ids = self.exact.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        return _packed(ids)
 
     def __missing__(self, chunk: str) -> bytes:
         if len(self) >= REMEMBERED:
@@ -78,11 +87,11 @@ class Encoder(dict):
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
-            return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return _packed(self.exact.encode(text, add_special_tokens=False).ids)
         if text.endswith(" ") or _SPACED.search(text):
             return self.whole(text)
         first, *rest = text.split(" ")
-        return (self.whole(first) if first else b"") + b"".join([self[c] for c in rest])
+        return (self.whole(first) if first else b"") + b"".join(map(self.__getitem__, rest))
 
 
 @functools.lru_cache(maxsize=2)
