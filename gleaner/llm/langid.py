@@ -20,9 +20,10 @@ from .common import batch, first_of_groups, fold, materialise, slices, text_batc
 BUCKETS = 1 << 16
 #: Lengths of n-grams.
 ORDERS = 4
-#: Labels that training takes at most, and rows of each; together they bound the sample.
-MAX_LABELS, ROWS_PER_LABEL = 1000, 500
+#: Rows of each label that weights are fitted on, rows of all labels together, and labels (the most frequent), at most: they bound the sample, and the model.
+ROWS_PER_LABEL, SAMPLE_ROWS, MOST_LABELS = 500, 8000, 200
 UNKNOWN = "und"
+#: Characters of a text that are numbers at a time.
 _PART = 1 << 20
 
 
@@ -38,30 +39,41 @@ def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     Text is lower-cased; whatever isn't a letter becomes one space, so that n-grams see
     where words begin and end.
     """
-    total = None
-    for k in range(0, len(text or ""), _PART):
-        codes = np.frombuffer(text[max(0, k - 1) : k + _PART].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    lowered, total, tail, open_word = (text or "").lower(), np.zeros(0, np.int64), None, False
+    for k in range(0, len(lowered), _PART):
+        codes = np.frombuffer(lowered[k : k + _PART].encode("utf-32-le", "surrogatepass"), np.uint32)
         letter = _letters()[codes]
-        if not letter.any():
-            continue
-        stream = np.where(letter, codes, np.uint32(32))
         keep = letter.copy()
         keep[1:] |= letter[:-1]
-        stream = np.concatenate(([np.uint32(32)], stream[keep], [np.uint32(32)]))
-        gram, found = np.zeros(len(stream), np.uint32), []
-        for n in range(ORDERS):
-            if n >= len(stream):
-                break
-            gram = gram[: len(stream) - n] * np.uint32(0x9E3779B1) + stream[n:] + np.uint32(n)
-            found.append((gram * np.uint32(0x85EBCA6B)) >> np.uint32(16))
-        counts = np.bincount(np.concatenate(found), minlength=BUCKETS)
-        total = counts if total is None else total + counts
-    if total is None:
+        keep[0] |= open_word
+        open_word = bool(letter[-1])
+        stream = np.where(letter, codes, np.uint32(32))[keep]
+        if not len(stream):
+            continue
+        if tail is None:
+            stream, seen = np.concatenate(([np.uint32(32)], stream)), 0
+        else:  # n-grams that began in the part before
+            stream, seen = np.concatenate((tail, stream)), len(tail)
+        total = _add_counts(total, stream, seen)
+        tail = stream[1 - ORDERS :]
+    if tail is None:
         return np.zeros(0, np.int64), np.zeros(0)
+    if open_word:
+        total = _add_counts(total, np.concatenate((tail, [np.uint32(32)])), len(tail))
     at = np.flatnonzero(total)
     return at, total[at]
 
 
+def _add_counts(total: np.ndarray, stream: np.ndarray, seen: int) -> np.ndarray:
+    """Adds the n-grams of a stream that end behind its first ``seen`` characters."""
+    gram, found = np.zeros(len(stream), np.uint32), []
+    for n in range(min(ORDERS, len(stream))):
+        gram = gram[: len(stream) - n] * np.uint32(0x9E3779B1) + stream[n:] + np.uint32(n)
+        found.append((gram[max(0, seen - n) :] * np.uint32(0x85EBCA6B)) >> np.uint32(16))
+    counts = np.bincount(np.concatenate(found), minlength=BUCKETS)
+    return total + counts if len(total) else counts
+
+
 @dataclass
 class Model:
     """labels in code point order; weights has a last row for the bias."""
@@ -180,25 +192,26 @@ def sample(docs: DataFrame, rows_per_label: int = ROWS_PER_LABEL) -> list[tuple[
             yield batch(_SAMPLE, b.column(0), b.column(1), [a.astype("<u2").tobytes() for a, _ in found], [c.astype("<f4").tobytes() for _, c in found])
 
     texts = docs.join(F.broadcast(ids), "doc_id").where(F.col("lang") == F.col("picked")).select("doc_id", "lang", "text")
-    rows = texts.mapInArrow(run, "doc_id long, lang string, at binary, counts binary").dropDuplicates(["doc_id", "lang"]).collect()
+    found = texts.mapInArrow(run, "doc_id long, lang string, at binary, counts binary").where("length(at) > 0")
+    rows = found.groupBy("doc_id", "lang").agg(F.min(F.struct("at", "counts")).alias("f")).collect()  # one of the rows of an id
     rows.sort(key=lambda r: (r["lang"], r["doc_id"]))
-    return [(r["lang"], np.frombuffer(r["at"], "<u2"), np.frombuffer(r["counts"], "<f4")) for r in rows if r["at"]]
+    return [(r["lang"], np.frombuffer(r["f"]["at"], "<u2"), np.frombuffer(r["f"]["counts"], "<f4")) for r in rows]
 
 
-def train(docs: DataFrame, rows_per_label: int = ROWS_PER_LABEL, **penalties) -> Model:
+def train(docs: DataFrame, rows_per_label: int = ROWS_PER_LABEL, most_labels: int = MOST_LABELS, **penalties) -> Model:
     """A model of docs (doc_id, text, lang): document frequencies of every row, weights of a bounded sample.
 
-    A fifth of the sample is left out of the weights and sets the temperature.
+    Of more than ``most_labels`` labels the most frequent are learned. A fifth of the sample is left out of the weights and sets the temperature.
     """
     docs = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    labels = sorted(r["lang"] for r in docs.select("lang").distinct().limit(MAX_LABELS + 1).collect())
-    if len(labels) > MAX_LABELS:
-        raise ValueError(f"more than {MAX_LABELS} labels")
+    frequent = docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_labels).collect()
+    labels = sorted(r["lang"] for r in frequent)
+    rows_per_label = max(1, min(rows_per_label, SAMPLE_ROWS // max(1, len(labels))))
     if not labels:
         return Model([], np.ones(BUCKETS), np.zeros((BUCKETS + 1, 0)))
     model = Model(labels, inverse_frequencies(docs), np.zeros((BUCKETS + 1, len(labels))))
     place = {x: i for i, x in enumerate(labels)}
-    rows = sample(docs, rows_per_label)
+    rows = sample(docs.where(F.col("lang").isin(labels)), rows_per_label)
     kept = [(*model.features(at, c), place[lang]) for k, (lang, at, c) in enumerate(rows) if k % 5 != 4 or len(rows) < 20]
     left = [(at, c, place[lang]) for k, (lang, at, c) in enumerate(rows) if k % 5 == 4 and len(rows) >= 20]
     model.weights = ftrl(kept, len(labels), **penalties)
@@ -214,25 +227,27 @@ def held_out(id_col: str = "doc_id", folds: int = 4, left: int = 2) -> Column:
     return F.coalesce(fold(id_col, folds) == left, F.lit(True))
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, left: int = 2, rows_per_label: int = ROWS_PER_LABEL, **penalties):
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, left: int = 2, rows_per_label: int = ROWS_PER_LABEL, most_labels: int = MOST_LABELS, **penalties):
     """A broadcast model of the text and non-null language of rows whose crc32(id as text) modulo folds isn't ``left``."""
     text_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    model = train(source.where(~held_out("doc_id", folds, left)), rows_per_label, **penalties)
+    model = train(source.where(~held_out("doc_id", folds, left)), rows_per_label, most_labels, **penalties)
     model.weights = model.weights.astype(np.float32)
     return docs.sparkSession.sparkContext.broadcast(model)
 
 
-def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, left: int = 2, rows_per_label: int = ROWS_PER_LABEL, **penalties) -> DataFrame:
+def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, left: int = 2, rows_per_label: int = ROWS_PER_LABEL, most_labels: int = MOST_LABELS, **penalties) -> DataFrame:
     """Predicts the language of every whole text: (doc_id, held_out, lang_pred, score).
 
     Learns from text and non-null language of rows whose crc32(id as text) modulo folds
-    isn't ``left``; predictions see the text alone. score is the calibrated probability of
+    isn't ``left``: document frequencies of all of them, weights of at most rows_per_label
+    of each label and SAMPLE_ROWS in all; of more than most_labels labels the most frequent
+    are learned. Predictions see the text alone. score is the calibrated probability of
     the label predicted. A null or empty text, or one without a letter, is ``und`` with
     score 0, as is everything if there is nothing to learn from; an empty table gives no
     rows; repeated rows are each predicted, alike; ids may be null; other columns are not read.
     """
-    sent = learn(docs, id_col, text_col, lang_col, folds, left, rows_per_label, **penalties)
+    sent = learn(docs, id_col, text_col, lang_col, folds, left, rows_per_label, most_labels, **penalties)
 
     def run(batches):
         for b in slices(batches):

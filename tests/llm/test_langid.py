@@ -42,13 +42,25 @@ def test_keep_leaves_columns_and_drops_what_has_no_language(docs):
     assert {r["doc_id"] for r in kept.collect()} == set(range(160))
 
 
-def test_long_texts_are_read_whole_in_parts():
-    part = langid._PART
-    text = "ab " * part
-    at, counts = langid.grams(text)
-    assert counts.sum() > 3 * part and (counts > part / 2).sum() < 15
-    short = langid.grams("ab ab")
-    assert set(short[0]) <= set(at)  # where parts meet, a few n-grams are of the cut
+@pytest.mark.parametrize("text", ["ab " * 50, "  Ünïcode\nwörds, 12 and ΟΔΥΣΣΕΥΣ", "a", "a b", "", "...", "x" * 40 + "!" * 40 + "y", "ab.", None])
+@pytest.mark.parametrize("part", [1, 2, 3, 7, 64])
+def test_long_texts_are_read_whole_whatever_the_parts(monkeypatch, text, part):
+    whole = langid.grams(text)
+    monkeypatch.setattr(langid, "_PART", part)
+    cut = langid.grams(text)
+    assert whole[0].tolist() == cut[0].tolist() and whole[1].tolist() == cut[1].tolist()
+
+
+def test_grams_count_every_run_of_letters_with_its_edges():
+    at, counts = langid.grams("Ab, ab")  # " ab ab "
+    assert counts.sum() == 7 + 6 + 5 + 4 and sorted(counts.tolist())[-1] == 3 and len(langid.grams("ab" * langid._PART)[0]) == len(langid.grams("ab" * 9)[0])
+
+
+def test_more_labels_than_are_learned(docs, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 60)
+    rows = corpus() + [(3000 + i, "qqq www zzz", f"rare{i}", None) for i in range(30)]
+    found = langid.identify(docs(rows), most_labels=2).collect()
+    assert len(found) == len(rows) and {r["lang_pred"] for r in found} == {"en", "fr"}
 
 
 def test_ftrl_is_sparse_and_temperature_finds_least_loss():
