@@ -20,36 +20,102 @@ from .common import as_bytes, slices, text_batches
 #: Phrases whose places count as base ones, and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-_GRANT = " ".join(
-    (
-        "permission is hereby granted free of charge", "to any person obtaining a copy", "of this software [[ and associated documentation",
-        "files ]] the software to deal in the", "software without restriction including without limitation", "the rights to use copy modify",
-        "merge publish distribute sublicense [[ and ]]", "[[ or ]] sell copies of the software", "and to permit persons to whom the",
-        "software is furnished to do so", "subject to the following conditions",
-    )
-)
-_KEEP = "the above copyright notice [[ and this permission notice ]] [[ including the next paragraph ]] shall be included in all copies or substantial portions of the software"
+#: The wording of licenses, in the words that texts are read as.
+_AS_IS = """
+the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of
+merchantability fitness for a particular purpose and [[ non infringement ]] [[ noninfringement ]] in no event shall the authors [[ or copyright holders ]] be liable for
+any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the
+software or the use or other dealings in the software
+"""
+_MIT = f"""
+permission is hereby granted free of charge to any person obtaining a copy of this software [[ and associated documentation files ]] [[ the software ]]
+to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute
+sublicense [[ and ]] [[ or ]] sell copies of the software and to permit persons to whom the software is furnished to do so subject to the
+following conditions the above copyright notice [[ and this permission notice ]] [[ including the next paragraph ]] shall be included in all copies or substantial
+portions of the software {_AS_IS}
+"""
+_ISC = """
+permission to use copy modify and [[ or ]] distribute this software for any purpose with or without fee is hereby granted provided that the above
+copyright notice and this permission notice appear in all copies the software is provided as is and the {{who:4}} disclaims all
+warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the
+{{who:4}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data
+or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or
+performance of this software
+"""
+_BSD = """
+redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+[[ 1 ]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+[[ 2 ]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the
+documentation and or other materials provided with the distribution
+"""
+_NAMES = """
+[[ 3 ]] neither the name of {{owner:12}} nor the names of its|{{people:1}} contributors may be used to endorse or promote products derived from this
+software without specific prior written permission
+"""
+_DISCLAIMED = """
+this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not
+limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the
+copyright holder|owner|holders or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but
+not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and
+on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of
+the use of this software even if advised of the possibility of such damage
+"""
+_ZLIB = """
+this software is provided as is without any express or implied warranty in no event will the authors|author be held liable for any damages
+arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial
+applications and to alter it and redistribute it freely subject to the following restrictions [[ 1 ]] the origin of this software must
+not be misrepresented you must not claim that you wrote the original software if you use this software in a product an
+acknowledgment|acknowledgement in the product documentation would be appreciated but is not required [[ 2 ]] altered source versions must be plainly marked
+as such and must not be misrepresented as being the original software [[ 3 ]] this notice may not be removed or altered from any
+source distribution
+"""
+_UNLICENSE = f"""
+this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or
+distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any
+means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest
+in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our
+heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to
+this software under copyright law {_AS_IS}
+"""
+_APACHE = """
+licensed under the apache license version 2 0 [[ the license ]] you may not use {{work:4}} except in compliance with the license you may obtain
+a copy of the license at http|https www apache org licenses license 2 0 [[ txt ]] [[ html ]] unless required by applicable law or agreed to in writing software
+distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied
+see the license for the specific language governing permissions and limitations under the license
+"""
+_GPL = """
+is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the
+free software foundation either version {version} of the license or at your option any later version {{{{program:4}}}} is distributed in the
+hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a
+particular purpose see the gnu general public license for more details
+"""
+
 _WORK = "[[ this|the {{work:4}} is|are ]]"
 _UNDER = "released|licensed|distributed|available|provided|published under"
-_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"
-_BSD_1 = "[[ 1 ]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"
-_BSD_2 = "[[ 2 ]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
-_BSD_3 = "[[ 3 ]] neither the name of {{owner:12}} nor the names of its|{{people:1}} contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_PUBLISHED = "[[ the terms of ]] the gnu general public license [[ as published by {{who:6}} ]] [[ either ]]"
+_LATER = "[[ of the license ]] [[ or [[ at your option ]] any later version ]]"
 
-#: (label, template); a label may have several.
+#: How much a place says: all the wording of a license (or, of long licenses, of the notice that they tell authors to use), a sentence that names one, or a base phrase.
+WORDING, NOTICE, BASE = 1.0, 0.75, 0.5
+#: (label, what a match says, template); a label may have several.
 TEMPLATES = (
-    ("mit", f"{_GRANT} {_KEEP}"),
-    ("mit", f"{_WORK} {_UNDER} [[ the terms of ]] the mit license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("bsd-2-clause", f"{_BSD} {_BSD_1} {_BSD_2}"),
-    ("bsd-3-clause", f"{_BSD} {_BSD_1} {_BSD_2} {_BSD_3}"),
-    ("apache-2", f"{_WORK} licensed under the apache license version 2 [[ 0 ]] [[ the license ]]"),
-    ("gpl-3", f"{_WORK} {_UNDER} [[ the terms of ]] the gnu general public license [[ as published by {{{{who:6}}}} ]] [[ either ]] version 3 [[ of the license ]] [[ or [[ at your option ]] any later version ]]"),
-    ("gpl-2", f"{_WORK} {_UNDER} [[ the terms of ]] the gnu general public license [[ as published by {{{{who:6}}}} ]] [[ either ]] version 2 [[ of the license ]] [[ or [[ at your option ]] any later version ]]"),
-    ("cc-by-nc-4", f"{_WORK} {_UNDER} [[ a|the ]] [[ creative commons ]] cc by nc 4 0 [[ international ]] [[ license ]]"),
-    ("cc-by-4", f"{_WORK} {_UNDER} [[ a|the ]] [[ creative commons ]] cc by 4 0 [[ international ]] [[ license ]]"),
-    ("cc-by-nc-4", f"{_WORK} {_UNDER} a|the creative commons attribution noncommercial 4 0 [[ international ]] [[ public ]] license"),
-    ("public-domain", f"{_WORK} free and unencumbered software released into the public domain"),
+    ("mit", WORDING, _MIT),
+    ("mit", NOTICE, f"{_WORK} {_UNDER} [[ the terms of ]] the mit license"),
+    ("isc", WORDING, _ISC),
+    ("bsd-2-clause", WORDING, f"{_BSD} {_DISCLAIMED}"),
+    ("bsd-3-clause", WORDING, f"{_BSD} {_NAMES} {_DISCLAIMED}"),
+    ("zlib", WORDING, _ZLIB),
+    ("public-domain", WORDING, _UNLICENSE),
+    ("public-domain", NOTICE, f"{_WORK} free and unencumbered software released into the public domain"),
+    ("apache-2", WORDING, _APACHE),
+    ("apache-2", NOTICE, f"{_WORK} licensed under the apache license version 2 [[ 0 ]] [[ the license ]]"),
+    ("gpl-3", WORDING, _GPL.format(version=3)),
+    ("gpl-3", NOTICE, f"{_WORK} {_UNDER} {_PUBLISHED} version 3 {_LATER}"),
+    ("gpl-2", WORDING, _GPL.format(version=2)),
+    ("gpl-2", NOTICE, f"{_WORK} {_UNDER} {_PUBLISHED} version 2 {_LATER}"),
+    ("cc-by-nc-4", NOTICE, f"{_WORK} {_UNDER} [[ a|the ]] [[ creative commons ]] cc by nc 4 0 [[ international ]] [[ license ]]"),
+    ("cc-by-4", NOTICE, f"{_WORK} {_UNDER} [[ a|the ]] [[ creative commons ]] cc by 4 0 [[ international ]] [[ license ]]"),
+    ("cc-by-nc-4", NOTICE, f"{_WORK} {_UNDER} a|the creative commons attribution noncommercial 4 0 [[ international ]] [[ public ]] license"),
 )
 
 _MARK = re.compile(r"\[\[|\]\]|\{\{\w+:\d+\}\}(?:\|\S+)*|[^\s\[\]]+")
@@ -161,37 +227,37 @@ def tokens(text: bytes | None) -> list[bytes]:
 @dataclass(frozen=True)
 class Scanner:
     phrases: tuple[tuple[str, str], ...] = PHRASES
-    templates: tuple[tuple[str, str], ...] = TEMPLATES
+    templates: tuple[tuple[str, float, str], ...] = TEMPLATES
 
     @functools.cached_property
     def compiled(self):
-        automata = [(label, Automaton(t)) for label, t in self.templates]
-        starts: dict[bytes, list[tuple[int, str, Automaton | list[bytes]]]] = {}
-        for label, automaton in automata:
+        starts: dict[bytes, list[tuple[float, str, Automaton | list[bytes]]]] = {}
+        for label, says, template in self.templates:
+            automaton = Automaton(template)
             for w in automaton.first_words():
-                starts.setdefault(w, []).append((1, label, automaton))
+                starts.setdefault(w, []).append((says, label, automaton))
         for phrase, label in self.phrases:
             words = phrase.encode().split()
-            starts.setdefault(words[0], []).append((0, label, words))
+            starts.setdefault(words[0], []).append((BASE, label, words))
         return starts
 
-    def scan(self, text: bytes | None) -> tuple[int, list[tuple[str, bool, int, int]]]:
-        """(number of words, places): a place is (label, whether a base phrase, first word, word after it)."""
+    def scan(self, text: bytes | None) -> tuple[int, list[tuple[str, float, int, int]]]:
+        """(number of words, places): a place is (label, what it says, first word, word after it)."""
         words, starts = tokens(text), self.compiled
         places, upto = [], {}
         if not starts.keys().isdisjoint(words):
             for i, w in enumerate(words):
-                for kind, label, what in starts.get(w, ()):
-                    if kind == 0:
+                for says, label, what in starts.get(w, ()):
+                    if isinstance(what, list):
                         if words[i : i + len(what)] == what:
-                            places.append((label, True, i, i + len(what)))
+                            places.append((label, says, i, i + len(what)))
                     elif i >= upto.get(id(what), 0) and (end := what.match(words, i)) > i:
-                        places.append((label, False, i, end))
+                        places.append((label, says, i, end))
                         upto[id(what)] = end
         return len(words), places
 
 
-_FOUND = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("places", pa.list_(pa.struct([("label", pa.string()), ("base", pa.bool_()), ("start", pa.int64()), ("end", pa.int64())])))])
+_FOUND = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("places", pa.list_(pa.struct([("label", pa.string()), ("says", pa.float64()), ("start", pa.int64()), ("end", pa.int64())])))])
 
 
 @functools.lru_cache(maxsize=4)
@@ -202,9 +268,9 @@ def _scanner(phrases, templates) -> Scanner:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, templates=TEMPLATES) -> DataFrame:
     """Places of license wording in every whole text: (doc_id, n_words, places).
 
-    places: array of (label, base, start, end), in words from 0: all places of the base
-    phrases, overlapping ones too, and for each template its longest matches from left to
-    right. Null and empty texts have no words and no places; repeated rows are each
+    places: array of (label, says, start, end), in words from 0: all places of the base
+    phrases (says 0.5), overlapping ones too, and for each template its longest matches from left to
+    right (1 for the whole wording of a license, 0.75 for a sentence that names one). Null and empty texts have no words and no places; repeated rows are each
     scanned; ids may be null; an empty table gives no rows; other columns are not read.
     """
     text_batches(docs.sparkSession)
@@ -214,16 +280,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase
         scanner = _scanner(phrases, templates)
         for b in slices(batches):
             found = [scanner.scan(t) for t in as_bytes(b.column(1))]
-            places = [[{"label": x, "base": k, "start": s, "end": e} for x, k, s, e in p] for _, p in found]
+            places = [[{"label": x, "says": k, "start": s, "end": e} for x, k, s, e in p] for _, p in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array(places, _FOUND.field(2).type)], schema=_FOUND)
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_words long, places array<struct<label:string,base:boolean,start:bigint,end:bigint>>")
+    return source.mapInArrow(run, "doc_id long, n_words long, places array<struct<label:string,says:double,start:bigint,end:bigint>>")
 
 
 def report(found: DataFrame) -> DataFrame:
-    """A digest of scan(): counts and ends of base places, labels, and a score: 1 with a template's whole wording, 0.5 with a base phrase alone, else 0."""
-    base = F.filter("places", lambda p: p["base"])
+    """A digest of scan(): counts and ends of base places, labels, and as a score the most that a place says, 0 without any."""
+    base = F.filter("places", lambda p: p["says"] == BASE)
     listed = lambda c: F.array_join(F.array_sort(F.array_distinct(F.transform(c, lambda p: p["label"]))), ",")
     starts = F.transform(base, lambda p: p["start"])
     return found.select(
@@ -234,7 +300,7 @@ def report(found: DataFrame) -> DataFrame:
         F.array_max(starts).alias("last_word"),
         listed(base).alias("base_labels"),
         listed(F.col("places")).alias("labels"),
-        F.when(F.exists("places", lambda p: ~p["base"]), 1.0).when(F.size("places") > 0, 0.5).otherwise(0.0).alias("score"),
+        F.coalesce(F.array_max(F.transform("places", lambda p: p["says"])), F.lit(0.0)).alias("score"),
     )
 
 
@@ -268,15 +334,15 @@ def oracle(phrases=PHRASES, templates=TEMPLATES) -> str:
     places = ", ".join(f"{at(p)} AS p{k}" for k, (p, _) in enumerate(phrases))
     every = "list_concat(" * (len(phrases) - 1) + "p0" + "".join(f", p{k})" for k in range(1, len(phrases)))
     base = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(phrases))
-    own = ", ".join(f"CASE WHEN regexp_matches(line, '{regex(t)}') THEN '{label}' END" for label, t in templates)
+    own = ", ".join(f"CASE WHEN regexp_matches(line, '{regex(t)}') THEN {{'label': '{label}', 'says': CAST({says} AS DOUBLE)}} END" for label, says, t in templates)
     join = "coalesce(array_to_string(list_sort(list_distinct(list_filter({}, lambda x: x IS NOT NULL))), ','), '')"
     return rf"""
 WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
 p AS (SELECT doc_id, words, ' ' || array_to_string(words, ' ') || ' ' AS line, {places} FROM w),
-q AS (SELECT doc_id, words, {every} AS places, [{base}] AS base, [{own}] AS own FROM p)
+q AS (SELECT doc_id, words, {every} AS places, [{base}] AS base, list_filter([{own}], lambda x: x IS NOT NULL) AS own FROM p)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base,
   CAST(list_min(places) - 1 AS BIGINT) AS first_word, CAST(list_max(places) - 1 AS BIGINT) AS last_word,
-  {join.format("base")} AS base_labels, {join.format("list_concat(base, own)")} AS labels,
-  CAST(CASE WHEN len(list_filter(own, lambda x: x IS NOT NULL)) > 0 THEN 1 WHEN len(places) > 0 THEN 0.5 ELSE 0 END AS DOUBLE) AS score
+  {join.format("base")} AS base_labels, {join.format("list_concat(base, list_transform(own, lambda x: x.label))")} AS labels,
+  greatest(coalesce(list_max(list_transform(own, lambda x: x.says)), 0), CASE WHEN len(places) > 0 THEN {BASE} ELSE 0 END) AS score
 FROM q
 """
