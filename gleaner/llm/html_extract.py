@@ -20,15 +20,23 @@ _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Whose content is never text of the page.
-_SILENT = frozenset("head script style noscript template iframe svg title object audio video canvas math noframes noembed select textarea datalist".split())
+#: Whose content browsers never show as text: scripts, styles, form controls, and what stands in for frames.
+_SILENT = frozenset("head title script style template iframe noframes noembed select textarea datalist".split())
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noembed", "noframes")}
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+#: Whose begin and end part text; all others, unknown ones too, are within a line.
+_BLOCK = frozenset(
+    (
+        "address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt embed fieldset figcaption figure footer form frame frameset h1 h2 h3 h4 h5 h6 head header "
+        "hgroup hr html legend li link main menu meta nav ol optgroup option p param pre script search section source style summary table tbody td template tfoot th thead title tr track ul"
+    ).split()
+)
+#: Links and controls: in a line, but maybe all there is of a menu or form.
+_DECIDED = frozenset("a button label input output img picture".split())
 _ENDS_SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
 _SAME = {"dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}}
 
 _TAG_GROUPS = (
-    "article", "main", "section", "div", "p", "h1", "h2 h3 h4 h5 h6", "ul ol dl menu", "li dt dd", "a", "nav", "header", "footer", "aside", "form fieldset",
+    "article", "main", "section", "div", "p", "h1", "h2", "h3 h4 h5 h6", "ul ol dl menu", "li dt dd", "a", "nav", "header", "footer", "aside", "form fieldset",
     "button input label legend option output", "figure figcaption img picture", "table tbody thead tfoot tr td th caption", "blockquote pre", "span b i em strong small u", "html body",
 )
 _GROUP_OF = {t: i for i, names in enumerate(_TAG_GROUPS) for t in names.split()}
@@ -41,7 +49,7 @@ _NAME_GROUPS = (
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner adsense dfp adslot outbrain taboola affiliate commercial",
     "cookie cookies consent gdpr notice alert popup modal overlay paywall toast announcement disclaimer privacy dialog message",
     "form search login signin signup register newsletter subscribe subscription contact input poll survey",
-    "comment comments commenter reply replies respond discussion disqus thread reader readers feedback review reviews",
+    "comment comments commenter reply replies respond discussion disqus thread reader readers reviews",
     "share sharing social follow tweet like buttons",
     "meta byline author date published timestamp tags tag category categories",
     "content article post entry story text prose paragraph copy body articlebody",
@@ -55,7 +63,7 @@ _ABOVE_OF = {_GROUP_OF[x.split()[0]]: 1 << i for i, x in enumerate(_ABOVE)}
 
 @dataclass
 class Page:
-    """Elements in page order, as columns; texts: (element, text) and (-1, "") where a block begins or ends."""
+    """Elements in page order, as columns; follows: elements within a line that nothing names, which go with what they are in; texts: (element, text) and (-1, "") where a block begins or ends."""
 
     parent: list[int] = field(default_factory=list)
     end: list[int] = field(default_factory=list)
@@ -64,6 +72,7 @@ class Page:
     depth: list[int] = field(default_factory=list)
     silent: list[bool] = field(default_factory=list)
     marked: list[bool] = field(default_factory=list)
+    follows: list[bool] = field(default_factory=list)
     texts: list[tuple[int, str]] = field(default_factory=list)
 
 
@@ -80,7 +89,7 @@ def _name_bits(attributes: str) -> int:
 
 def parse(html: str | None) -> Page:
     """The element tree of any text that browsers would show something for; an empty page has its root only."""
-    page = Page([-1], [0], [_OTHER_TAG], [0], [0], [False], [False])
+    page = Page([-1], [0], [_OTHER_TAG], [0], [0], [False], [False], [False])
     stack: list[tuple[int, str]] = [(0, "")]
     html = html or ""
     at, n = 0, len(html)
@@ -90,7 +99,7 @@ def parse(html: str | None) -> Page:
         while len(stack) > k:
             i, name = stack.pop()
             page.end[i] = len(page.parent)
-            if name not in _INLINE:
+            if name in _BLOCK:
                 texts.append((-1, ""))
 
     while at < n:
@@ -110,13 +119,13 @@ def parse(html: str | None) -> Page:
                 if stack[k][1] == name:
                     pop_to(k)
                     break
-                if name in _INLINE and stack[k][1] not in _INLINE:
+                if name not in _BLOCK and stack[k][1] in _BLOCK:
                     break
             continue
-        if name not in _INLINE:
+        if name in _BLOCK or name == "br":
             if name != "br":  # a paragraph ends where a block begins
                 k = len(stack) - 1
-                while k > 0 and stack[k][1] in _INLINE:
+                while k > 0 and stack[k][1] not in _BLOCK:
                     k -= 1
                 if stack[k][1] == "p":
                     pop_to(k)
@@ -139,6 +148,7 @@ def parse(html: str | None) -> Page:
         page.depth.append(len(stack))
         page.silent.append(page.silent[above] or name in _SILENT)
         page.marked.append("data-y" in attributes)
+        page.follows.append(name not in _BLOCK and not page.names[i] and name not in _DECIDED)
         if name in _VOID or attributes.endswith("/") and name not in _GROUP_OF:
             continue
         stack.append((i, name))
@@ -149,7 +159,7 @@ def parse(html: str | None) -> Page:
     return page
 
 
-_COUNTED = ("article", "main", "p", "h1", "h2 h3 h4 h5 h6", "li dt dd", "a", "button input label legend option output", "figure figcaption img picture")
+_COUNTED = ("article", "main", "p", "h1", "h2", "h3 h4 h5 h6", "li dt dd", "a", "button input label legend option output", "figure figcaption img picture")
 _COUNTED_OF = [_GROUP_OF[x.split()[0]] for x in _COUNTED]
 
 
@@ -240,7 +250,7 @@ class Forest:
         return total
 
 
-def boost(x: np.ndarray, y: np.ndarray, trees: int = 50, depth: int = 5, rate: float = 0.3, penalty: float = 1.0, seed: int = 11) -> Forest:
+def boost(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 5, rate: float = 0.3, penalty: float = 1.0, seed: int = 11) -> Forest:
     """Gradient boosting of log loss; each tree sees half the features, and each level takes the question of largest gain."""
     rng = np.random.default_rng(seed)
     edges = []
@@ -283,11 +293,10 @@ _SYLLABLES = "ka to ri ne sol ma der ing est un lo pa vi che qua mi ber os al en
 
 
 def _words(rng, n: int) -> str:
-    made = ["".join(rng.choice(_SYLLABLES, rng.integers(1, 4))) for _ in range(n)]
-    out = []
-    for i, w in enumerate(made):
-        out.append(w + ("," if rng.random() < 0.06 else ".", "")[rng.random() < 0.9] if i < n - 1 else w)
-    return " ".join(out)
+    sizes = rng.integers(1, 4, n)
+    parts, marks = iter(rng.integers(0, len(_SYLLABLES), sizes.sum()).tolist()), rng.random(n).tolist()
+    made = ["".join(_SYLLABLES[next(parts)] for _ in range(k)) for k in sizes.tolist()]
+    return " ".join(w + ("," if m < 0.06 else "." if m < 0.1 else "") for w, m in zip(made[:-1], marks, strict=False)) + (" " if n > 1 else "") + "".join(made[-1:])
 
 
 def _sentence(rng, low: int = 5, high: int = 60) -> str:
@@ -342,7 +351,7 @@ def _furniture(rng, kind: str) -> str:
 _KINDS = ("nav", "header", "footer", "side", "ad", "notice", "form", "comments", "share")
 
 
-_MARKUP = "b b i em strong span code small sub mark a".split()
+_MARKUP = "b b i em strong span code small sub mark a math noscript object abbr".split()
 
 
 def _marked_up(rng, text: str) -> str:
@@ -358,11 +367,11 @@ def _marked_up(rng, text: str) -> str:
 def _article(rng) -> str:
     parts = []
     if rng.random() < 0.85:
-        title = _el(rng, "h1", "title|entry-title||", _words(rng, int(rng.integers(1, 12))), True)
+        title = _el(rng, "h1" if rng.random() < 0.75 else "h2", "title|entry-title||", _words(rng, int(rng.integers(1, 12))), True)
         parts.append(_el(rng, "header", "entry-header|article-header|", title, True) if rng.random() < 0.15 else title)
     for _ in range(int(np.exp(rng.uniform(0, np.log(14))))):
         r = rng.random()
-        if r < 0.66:
+        if r < 0.58:
             text = _sentence(rng, 1 if rng.random() < 0.3 else 6, 120)
             if rng.random() < 0.25:
                 text = f"<b data-y>{text}" + ("<br>" if rng.random() < 0.5 else "</b>")
@@ -398,6 +407,8 @@ def example(rng) -> str:
     if rng.random() < 0.3:
         rng.shuffle(before)
     body = _article(rng)
+    if rng.random() < 0.06:  # without a frame of its own
+        body = body[body.index(">") + 1 : body.rindex("<")]
     if rng.random() < 0.3:
         body = _el(rng, str(rng.choice(["main", "div"])), "content-wrap|main|container|page|layout|", body + (_furniture(rng, str(rng.choice(["side", "comments", "ad"]))) if rng.random() < 0.5 else ""))
     inner = "".join(_furniture(rng, k) for k in before) + body + "".join(_furniture(rng, k) for k in after)
@@ -413,21 +424,22 @@ def labels(page: Page) -> np.ndarray:
 
 
 @functools.lru_cache(maxsize=2)
-def train(pages: int = 500, seed: int = 3) -> Forest:
+def train(pages: int = 800, seed: int = 3) -> Forest:
     """A forest from made-up pages; the same one each time."""
     rng = np.random.default_rng(seed)
     made = [parse(example(rng)) for _ in range(pages)]
-    return boost(features(made), np.concatenate([labels(p) for p in made]))
+    says = ~np.concatenate([p.follows for p in made])
+    return boost(features(made)[says], np.concatenate([labels(p) for p in made])[says])
 
 
 def decode(page: Page, logit: np.ndarray) -> np.ndarray:
     """Which elements to keep: the most likely choice in which all above a kept element are kept.
 
-    From the leaves up, an element is worth keeping if its own log odds and the best
+    Elements that follow have no say of their own. From the leaves up, an element is worth keeping if its own log odds and the best
     choices below it sum to more than nothing; from the root down, only what hangs under kept elements stays.
     """
     n = len(page.parent)
-    best, parent = logit.tolist(), page.parent
+    best, parent = np.where(page.follows, 1e-9, logit).tolist(), page.parent
     for i in range(n - 1, 0, -1):
         if best[i] > 0:
             best[parent[i]] += best[i]

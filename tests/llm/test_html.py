@@ -29,6 +29,30 @@ def test_keeps_the_article_alone(spark):
     assert h.main_text(spark.createDataFrame([], PAGES)).count() == 0
 
 
+#: Pages marked by hand: (html, main text).
+MARKED = [
+    ("""<html><head><title>Heat</title></head><body><header><a href="/">Daily Science</a><nav><a href="/n">News</a> <a href="/s">Science</a></nav></header>
+<main><article><h1>How heat moves</h1><p>The flow through a wall is <math><mi>q</mi><mo>=</mo><mi>k</mi></math> times the difference, as <em>Fourier</em> found.</p>
+<noscript><p>Figures need no scripts to be understood, and this one has none at all.</p></noscript><p>Wood&nbsp;&amp; wool carry little of it, which is why houses are built of the one and filled with the other.</p></article></main>
+<aside class="related"><h3>Related</h3><ul><li><a href="/1">Cold</a></li><li><a href="/2">Wind</a></li></ul></aside><footer><p>Copyright Daily Science</p></footer></body></html>""",
+     "How heat moves The flow through a wall is q=k times the difference, as Fourier found. Figures need no scripts to be understood, and this one has none at all. Wood & wool carry little of it, which is why houses are built of the one and filled with the other."),
+    ("""<body><div class="cookie-banner"><p>We use cookies.</p><button>Fine</button></div><div id="content" class="post"><h1>A lamp for the desk</h1>
+<p class="review">This lamp has been on our desk for a year, and we would buy it again without much thought.</p><p>It is bright, it is cheap, and the x-part <x-note>called</x-note> an arm bends where you want it to.</p>
+<form class="newsletter"><label>Mail</label><input name="m"><button>Join</button></form></div><div class="comments"><h3>Comments</h3><div class="comment"><p>Mine broke within a week, sadly.</p></div></div></body>""",
+     "A lamp for the desk This lamp has been on our desk for a year, and we would buy it again without much thought. It is bright, it is cheap, and the x-part called an arm bends where you want it to."),
+    ("""<body><nav class="menu"><ul><li><a href="/">Home</a></li></ul></nav><article><h2>Counting sheep</h2><p>There were three farms in the valley, and each kept its own count of sheep through the year.</p>
+<table><tr><th>Farm</th><th>Sheep</th></tr><tr><td>North</td><td>41</td></tr></table><blockquote>Nobody ever counted them twice, said the eldest of the farmers.</blockquote>
+<script>count(1)</script><style>td{color:red}</style><p>Then came the flood<br>and they were one farm.</p></article><div class="ad">Sheep for sale, today only.</div></body>""",
+     "Counting sheep There were three farms in the valley, and each kept its own count of sheep through the year. Farm Sheep North 41 Nobody ever counted them twice, said the eldest of the farmers. Then came the flood and they were one farm."),
+    ("<body><p>Only a paragraph, with no frame around it, and yet it is what the page says.</p></body>", "Only a paragraph, with no frame around it, and yet it is what the page says."),
+]
+
+
+@pytest.mark.parametrize("page, text", MARKED)
+def test_pages_marked_by_hand(page, text):
+    assert h.extract(h.train(), [page]) == [text]
+
+
 def test_held_out_made_up_pages():
     forest, rng = h.train(), np.random.default_rng(99)
     right = total = 0
@@ -60,7 +84,7 @@ def test_decoding_is_the_best_choice_by_brute_force():
     page = h.parse("<div><p>a<b>c</b></p><div><p>b</p></div></div>")
     n, rng = len(page.parent), np.random.default_rng(5)
     for _ in range(20):
-        logit = rng.normal(size=n)
+        logit = np.where(page.follows, 0.0, rng.normal(size=n))
         best = max(
             sum(logit[i] for i in range(1, n) if m >> i & 1)
             for m in range(1 << n)
@@ -68,3 +92,4 @@ def test_decoding_is_the_best_choice_by_brute_force():
         )
         keep = h.decode(page, logit)
         assert sum(logit[i] for i in range(1, n) if keep[i]) == pytest.approx(best)
+        assert all(keep[i] == keep[page.parent[i]] for i in range(1, n) if page.follows[i])
