@@ -82,13 +82,69 @@ def test_shards_follow_the_words(docs, monkeypatch):
     assert sum(r["taken"] // r["size"] for r in mixing.report(made).collect() if r["taken"]) == mixed.count()
 
 
+def by_shard(spark, q, shards, seed=0):
+    found = mixing.split(spark.createDataFrame(list(enumerate(q)), "place long, n long"), shards, seed).collect()
+    out = np.zeros((shards, len(q)), int)
+    for r in found:
+        assert r["n"] > 0
+        out[r["shard"], r["place"]] += r["n"]
+    return out
+
+
 def test_split_adds_up_and_is_even(spark):
     q = [1000, 300, 50, 0, 7]
     for shards in (1, 2, 5, 16):
-        found = mixing.split(spark.createDataFrame([(q,)], "quotas array<bigint>"), shards).collect()
-        assert sorted(r["shard"] for r in found) == list(range(shards))
-        assert [sum(c) for c in zip(*[r["quotas"] for r in found])] == q
-        assert max(sum(r["quotas"]) for r in found) - min(sum(r["quotas"]) for r in found) <= max(1, np.log2(shards))
+        found = by_shard(spark, q, shards)
+        assert found.sum(axis=0).tolist() == q
+        assert np.ptp(found.sum(axis=1)) <= max(1, np.log2(shards))
+
+
+def test_split_equals_a_tree_by_hand(spark):
+    from hashlib import md5
+    from math import comb
+
+    def uniform(*key):
+        return int(md5("/".join(map(str, key)).encode()).hexdigest()[:13], 16) / 2**52
+
+    def node(low, high, q):
+        if high - low == 1:
+            return {low: q}
+        middle, total = (low + high) // 2, sum(q)
+        rest, drawn, left = total, total * (middle - low) // (high - low), []
+        for i, m in enumerate(q):
+            u, upto, k = uniform(3, low, high, i), 0.0, max(0, drawn + m - rest) - 1
+            while upto < u and k < min(m, drawn):
+                k += 1
+                upto += comb(m, k) * comb(rest - m, drawn - k) / comb(rest, drawn)
+            left.append(k)
+            rest, drawn = rest - m, drawn - k
+        return node(low, middle, left) | node(middle, high, [a - b for a, b in zip(q, left)])
+
+    q = [40, 0, 13, 7, 25]
+    want = node(0, 6, q)
+    assert by_shard(spark, q, 6, 3).tolist() == [want[i] for i in range(6)]
+
+
+def test_split_of_many_sources_in_rows_of_few(spark, monkeypatch):
+    q = [17, 4, 0, 9, 60, 1, 1, 30, 2, 8]
+    one = by_shard(spark, q, 5)
+    monkeypatch.setattr(mixing, "SOURCES_A_ROW", 3)
+    found = by_shard(spark, q, 5)
+    assert found.sum(axis=0).tolist() == one.sum(axis=0).tolist() == q
+    assert found.sum(axis=1).tolist() == one.sum(axis=1).tolist()
+
+
+def test_shards_of_rows_are_those_that_the_tree_deals(docs):
+    rows = corpus(600, seed=5)
+    found = mixing.report(docs(rows)).collect()
+    source, per = {r[0]: r[3] for r in rows}, {}
+    for r in found:
+        shards = [int(x) for x in r["shards"].split(",") if x]
+        assert shards == sorted(shards) and r["taken"] == r["size"] * len(shards) and all(0 <= x < mixing.SHARDS for x in shards)
+        for x in shards:
+            per.setdefault(source[r["doc_id"]], [0] * mixing.SHARDS)[x] += r["size"]
+    for words in per.values():  # every source is in its share of shards
+        assert sum(w > 0 for w in words) > 8
 
 
 def test_hypergeometric_quantiles(spark):
