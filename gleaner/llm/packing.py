@@ -226,11 +226,12 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None, capacity: int
 def sequences(docs: DataFrame, tokenizer: str | None = None, capacity: int = 1024, end_id: int = 2, shard_docs: int = 50_000, **columns) -> DataFrame:
     """The packed sequences themselves: (sequence_id, n_tokens, ids array<long>, doc_ids array<long>).
 
-    doc_id has to be unique here, as it joins places with ids.
+    Every row is packed as pack_documents() says; ids may be repeated or null.
     """
-    tokens = materialise(tokenise(docs, tokenizer, capacity, end_id, with_ids=True, **columns), "tokens")
-    placed = pack(tokens.drop("ids"), capacity, shard_docs)
-    parts = placed.join(tokens.select("doc_id", "ids"), "doc_id").select("sequence_id", "offset", "doc_id", F.expr("substring(ids, int(4 * start + 1), int(4 * length))").alias("part"))
+    tokens = tokenise(docs, tokenizer, capacity, end_id, with_ids=True, **columns).withColumn("row", F.monotonically_increasing_id())
+    tokens = materialise(tokens, "tokens")
+    placed = pack(tokens.select(F.col("row").alias("doc_id"), "n_tokens", "crcs"), capacity, shard_docs).withColumnRenamed("doc_id", "row")
+    parts = placed.join(tokens.select("row", "doc_id", "ids"), "row").select("sequence_id", "offset", "doc_id", F.expr("substring(ids, int(4 * start + 1), int(4 * length))").alias("part"))
     whole = parts.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "part"))).alias("parts"))
     # Each id is four little-endian bytes, eight hex digits.
     joined = F.concat_ws("", F.transform("parts", lambda p: F.hex(p["part"])))

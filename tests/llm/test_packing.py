@@ -48,11 +48,12 @@ def test_round_trip_of_pieces(docs, exact):
 
 
 def test_sequences_hold_the_ids(docs, exact):
-    rows = [(1, "one two three"), (2, None), (3, "x y " * 900)]
+    rows = [(1, "one two three"), (2, None), (3, "x y " * 900), (1, "one two three"), (1, "another"), (None, "no id"), (None, "no id " * 1100)]
     found = packing.sequences(docs(rows)).collect()
     joined = sorted(i for r in found for i in r["ids"])
     assert joined == sorted(i for _, t in rows for i in exact(t))
     assert all(r["n_tokens"] == len(r["ids"]) <= 1024 for r in found)
+    assert sorted(str(i) for r in found for i in set(r["doc_ids"]) if i != 1)[:2] == ["2", "3"] and sum(r["doc_ids"].count(1) for r in found) == 3
 
 
 def test_few_bins_and_brute_force_of_the_rule():
