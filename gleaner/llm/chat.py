@@ -54,52 +54,56 @@ def render(turns: list[tuple[str | None, str | None]], template: Template) -> tu
 def conversations(rows: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conv_id, turns): the turns of each conversation in order of turn, role and text, nulls first; repeated rows stay.
 
-    Rows of a null id are one conversation, without a name. A conversation becomes one
-    record here, as any training example is; nothing else is ever gathered.
+    Rows of a null id are conversations of one turn each, as nothing says which of them
+    belong together. A conversation becomes one record here, as any training example is;
+    nothing else is ever gathered.
     """
     turn = F.struct(F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("role"), F.col(text_col).cast("string").alias("text"))
-    grouped = rows.select(F.col(id_col).alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("all"))
-    return grouped.select("conv_id", F.transform("all", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
+    said = rows.select(F.col(id_col).alias("conv_id"), turn.alias("t"))
+    grouped = said.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("all"))
+    every = grouped.unionByName(said.where("conv_id is null").select("conv_id", F.array("t").alias("all")))
+    return every.select("conv_id", F.transform("all", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))).alias("turns"))
 
 
 def stale_replies(found: DataFrame, learned: str = "assistant") -> DataFrame:
-    """Pairs of each conversation (conv_id, turns) up to its last reply with one that ends in a stale reply: (pair_id, chosen, rejected).
+    """Pairs of each conversation (conv_id, turns) up to its last reply with one that has a stale reply in it: (pair_id, reply, chosen, rejected).
 
-    The rejected one's last turn has the first half of the conversation's first reply,
-    rounded down. Conversations without a reply make no pair; without anything to say but
-    an empty reply the two sides are equal.
+    A stale reply is the first half of the conversation's first reply, rounded down. It
+    stands in for the last reply, so that the sides part at their end, and in another pair
+    for the first one, if that isn't the last, so that they part earlier and go on. reply is
+    the place of the reply that differs, from 0. Conversations without a reply make no
+    pair; without anything to say but an empty reply the two sides are equal.
     """
-    positions = F.transform("turns", lambda t, i: F.when(t["role"] == learned, i + 1).otherwise(0))
-    last = F.array_max(positions)
-    kept = found.withColumn("last", last).where("last > 0").withColumn("chosen", F.expr("slice(turns, 1, last)"))
-    first = F.coalesce(F.get(F.filter("turns", lambda t: t["role"] == learned), F.lit(0))["text"], F.lit(""))
-    stale = F.substring(first, F.lit(1), F.floor(F.length(first) / 2).cast("int"))
-    ending = F.array(F.struct(F.lit(learned).alias("role"), stale.alias("text")))
-    rejected = F.concat(F.expr("slice(chosen, 1, last - 1)"), ending)
-    return kept.select(F.col("conv_id").alias("pair_id"), "chosen", rejected.alias("rejected"))
+    places = F.filter(F.transform("turns", lambda t, i: F.when(t["role"] == learned, i)), lambda i: i.isNotNull())
+    kept = found.withColumn("places", places).where("size(places) > 0").withColumn("chosen", F.expr("slice(turns, 1, array_max(places) + 1)"))
+    kept = kept.withColumn("reply", F.explode(F.array_distinct(F.array(F.array_max("places"), F.array_min("places")))))
+    first = F.coalesce(F.get(F.col("turns"), F.array_min("places"))["text"], F.lit(""))
+    stale = F.struct(F.lit(learned).alias("role"), F.substring(first, F.lit(1), F.floor(F.length(first) / 2).cast("int")).alias("text"))
+    rejected = F.transform("chosen", lambda t, i: F.when(i == F.col("reply"), stale).otherwise(t))
+    return kept.select(F.col("conv_id").alias("pair_id"), "reply", "chosen", rejected.alias("rejected"))
 
 
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _TEXTS = [("prompt", pa.string()), ("chosen", pa.string()), ("chosen_spans", _SPANS), ("rejected", pa.string()), ("rejected_spans", _SPANS)]
 
 
-def preferences(pairs: DataFrame, template: Template = Template(), id_col: str = "pair_id", chosen_col: str = "chosen", rejected_col: str = "rejected") -> DataFrame:
+def preferences(pairs: DataFrame, template: Template = Template(), keys: tuple[str, ...] = ("pair_id",), chosen_col: str = "chosen", rejected_col: str = "rejected") -> DataFrame:
     """Preference records of pairs of conversations (arrays of role and text).
 
-    (pair_id, n_common, prompt, chosen, chosen_spans, rejected, rejected_spans): prompt is
+    (keys, n_common, prompt, chosen, chosen_spans, rejected, rejected_spans): prompt is
     the longest common prefix of whole turns, written once; chosen and rejected are what
     follows it on either side, with the spans of code points that a model learns from; all
     else is masked. Sides may share nothing (empty prompt) or be equal (empty
     completions); a null side has no turns, and neither has an empty one. One row for each
-    row of pairs, repeated ones too; ids may be null; other columns are not read.
+    row of pairs, repeated ones too; keys may be null; other columns are not read.
     """
     spans = "array<struct<start:bigint,end:bigint>>"
-    id_type = dict(pairs.dtypes)[id_col]
+    m, types = len(keys), dict(pairs.dtypes)
 
     def run(batches):
         for b in batches:
             columns: list[list] = [[] for _ in range(6)]
-            for a, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for a, c in zip(b.column(m).to_pylist(), b.column(m + 1).to_pylist(), strict=True):
                 a, c = ([(t and t["role"], t and t["text"]) for t in side or []] for side in (a, c))
                 n = common(a, c)
                 chosen, rejected = render(a[n:], template), render(c[n:], template)
@@ -108,16 +112,17 @@ def preferences(pairs: DataFrame, template: Template = Template(), id_col: str =
                     column.append(value)
             listed = lambda all_spans: pa.array([[{"start": s, "end": e} for s, e in own] for own in all_spans], _SPANS)
             n, prompt, chosen, chosen_spans, rejected, rejected_spans = columns
-            arrays = [b.column(0), pa.array(n, pa.int32()), pa.array(prompt, pa.string()), pa.array(chosen, pa.string()), listed(chosen_spans), pa.array(rejected, pa.string()), listed(rejected_spans)]
-            yield pa.RecordBatch.from_arrays(arrays, names=["pair_id", "n_common", *[n for n, _ in _TEXTS]])
+            arrays = [*b.columns[:m], pa.array(n, pa.int32()), pa.array(prompt, pa.string()), pa.array(chosen, pa.string()), listed(chosen_spans), pa.array(rejected, pa.string()), listed(rejected_spans)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "n_common", *[n for n, _ in _TEXTS]])
 
     side = lambda c: F.col(c).cast(f"array<{TURN}>")
-    source = pairs.select(F.col(id_col).alias("pair_id"), side(chosen_col).alias("a"), side(rejected_col).alias("b"))
-    return source.mapInArrow(run, f"pair_id {id_type}, n_common int, prompt string, chosen string, chosen_spans {spans}, rejected string, rejected_spans {spans}")
+    source = pairs.select(*keys, side(chosen_col).alias("__chosen"), side(rejected_col).alias("__rejected"))
+    named = ", ".join(f"`{k}` {types[k]}" for k in keys)
+    return source.mapInArrow(run, f"{named}, n_common int, prompt string, chosen string, chosen_spans {spans}, rejected string, rejected_spans {spans}")
 
 
 def digest(records: DataFrame) -> DataFrame:
-    """Spans as text: start-end, comma-joined."""
+    """Spans as text: start-end, comma-joined; no spans are an empty text, and other columns and repeated rows stay as they are."""
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
     named: dict[str, Column] = {c: joined(c) for c in ("chosen_spans", "rejected_spans")}
     return records.withColumns(named)
@@ -129,16 +134,24 @@ def oracle(template: Template = Template(), learned: str = "assistant") -> str:
     lit = lambda s: "'" + s.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
     clean = lambda c: f"replace({c}, {lit(template.mark)}, {lit(template.broken)})"
     heading = f"{lit(head[0])} || {clean('coalesce(role, ' + lit('unknown') + ')')} || {lit(head[1])}"
-    body = f"{clean('coalesce(text, ' + lit('') + ')')} || {lit(tail)}"
+    body = lambda c: f"{clean(f"coalesce({c}, '')")} || {lit(tail)}"
+
+    def side(c: str, name: str) -> str:
+        """The text of a side's own turns, and the spans of learned ones in it."""
+        return f"""string_agg(head || {c}, '' ORDER BY i) FILTER (i > n_common) AS {name},
+  string_agg(({c}_upto - length({c})) || '-' || {c}_upto, ',' ORDER BY i) FILTER (i > n_common AND role = '{learned}') AS {name}_spans"""
+
+    upto = lambda c: f"sum(CASE WHEN i > n_common THEN length(head || {c}) ELSE 0 END) OVER (PARTITION BY pair_id, alone, reply ORDER BY i) AS {c}_upto"
     return f"""
-WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS i FROM conversations),
-c AS (SELECT conv_id, max(i) FILTER (role = '{learned}') AS last, arg_min(coalesce(text, ''), i) FILTER (role = '{learned}') AS opening FROM t GROUP BY conv_id),
-a AS (SELECT t.conv_id, t.i, t.role, t.text, c.last, CASE WHEN t.i = c.last THEN substr(c.opening, 1, CAST(floor(length(c.opening) / 2) AS BIGINT)) ELSE t.text END AS other FROM t JOIN c ON t.conv_id = c.conv_id AND t.i <= c.last),
-n AS (SELECT conv_id, max(last) - CASE WHEN max(CASE WHEN i = last AND text IS DISTINCT FROM other THEN 1 ELSE 0 END) = 1 THEN 1 ELSE 0 END AS n_common FROM a GROUP BY conv_id),
-p AS (SELECT conv_id, string_agg({heading} || {body}, '' ORDER BY i) AS prompt FROM a JOIN n USING (conv_id) WHERE i <= n_common GROUP BY conv_id),
-e AS (SELECT conv_id, {heading} AS head, {body} AS yes, {clean('other')} || {lit(tail)} AS no FROM a JOIN n USING (conv_id) WHERE i > n_common)
-SELECT n.conv_id AS pair_id, CAST(n_common AS INTEGER) AS n_common, coalesce(prompt, '') AS prompt,
-  coalesce(head || yes, '') AS chosen, coalesce(length(head) || '-' || length(head || yes), '') AS chosen_spans,
-  coalesce(head || no, '') AS rejected, coalesce(length(head) || '-' || length(head || no), '') AS rejected_spans
-FROM n LEFT JOIN p ON p.conv_id = n.conv_id LEFT JOIN e ON e.conv_id = n.conv_id
+WITH s AS (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () ELSE 0 END AS alone FROM conversations),
+t AS (SELECT conv_id, alone, role, text, row_number() OVER (PARTITION BY conv_id, alone ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) - 1 AS i FROM s),
+c AS (SELECT conv_id, alone, max(i) FILTER (role = '{learned}') AS last, min(i) FILTER (role = '{learned}') AS first, arg_min(coalesce(text, ''), i) FILTER (role = '{learned}') AS opening FROM t GROUP BY ALL),
+k AS (SELECT conv_id, alone, last, opening, last AS reply FROM c WHERE last IS NOT NULL UNION ALL SELECT conv_id, alone, last, opening, first FROM c WHERE first < last),
+a AS (SELECT k.conv_id AS pair_id, t.alone, reply, i, role, text, CASE WHEN i = reply THEN substr(opening, 1, CAST(floor(length(opening) / 2) AS BIGINT)) ELSE text END AS other FROM t JOIN k ON t.conv_id IS NOT DISTINCT FROM k.conv_id AND t.alone = k.alone AND i <= last),
+n AS (SELECT *, coalesce(min(CASE WHEN text IS DISTINCT FROM other THEN i END) OVER (PARTITION BY pair_id, alone, reply) - 1, max(i) OVER (PARTITION BY pair_id, alone, reply)) AS n_common FROM a),
+e AS (SELECT pair_id, alone, reply, i, role, n_common, {heading} AS head, {body("text")} AS yes, {body("other")} AS no FROM n),
+u AS (SELECT *, {upto("yes")}, {upto("no")} FROM e),
+p AS (SELECT pair_id, reply, CAST(max(n_common) + 1 AS INTEGER) AS n_common, string_agg(head || yes, '' ORDER BY i) FILTER (i <= n_common) AS prompt, {side("yes", "chosen")}, {side("no", "rejected")} FROM u GROUP BY pair_id, alone, reply)
+SELECT pair_id, CAST(reply AS INTEGER) AS reply, n_common, coalesce(prompt, '') AS prompt, coalesce(chosen, '') AS chosen, coalesce(chosen_spans, '') AS chosen_spans,
+  coalesce(rejected, '') AS rejected, coalesce(rejected_spans, '') AS rejected_spans FROM p
 """

@@ -84,9 +84,9 @@ ORACLES["op4_topk"] = mtree.oracle()
 
 @query
 def op9_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A preference record of every conversation that has a reply: as it went, against a stale last reply."""
+    """Preference records of every conversation that has a reply: as it went, against a stale last reply, and against a stale first one."""
     pairs = chat.stale_replies(chat.conversations(table(spark, sf_dir, "conversations")))
-    return chat.digest(chat.preferences(pairs))
+    return chat.digest(chat.preferences(pairs, keys=("pair_id", "reply")))
 
 
 ORACLES["op9_preferences"] = chat.oracle()

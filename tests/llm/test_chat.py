@@ -13,45 +13,40 @@ ROWS = [
 
 def slow(rows):
     t, by = chat.Template(), {}
-    for conv, turn, role, text, _ in rows:
-        by.setdefault(conv, []).append((turn, role, text))
+    for k, (conv, turn, role, text, _) in enumerate(rows):
+        by.setdefault(conv if conv is not None else (k,), []).append((turn, role, text))
     none_first = lambda r: tuple((x is not None, x if x is not None else "") for x in r)
+    full = lambda part: "".join("".join(t.turn(*x)) for x in part)
     out = {}
     for conv, turns in by.items():
         turns = [(r, x) for _, r, x in sorted(turns, key=none_first)]
         replies = [i for i, (r, _) in enumerate(turns) if r == "assistant"]
-        if not replies:
-            continue
-        first = turns[replies[0]][1] or ""
-        chosen = turns[: replies[-1] + 1]
-        rejected = [*chosen[:-1], ("assistant", first[: len(first) // 2])]
-        n = 0
-        while n < len(chosen) and chosen[n] == rejected[n]:
-            n += 1
-        full = lambda part: "".join("".join(t.turn(*x)) for x in part)
-        out[conv] = (n, full(chosen[:n]), full(chosen[n:]), full(rejected[n:]))
+        for at in {replies[0], replies[-1]} if replies else ():
+            first = turns[replies[0]][1] or ""
+            chosen = turns[: replies[-1] + 1]
+            rejected = [*chosen[:at], ("assistant", first[: len(first) // 2]), *chosen[at + 1 :]]
+            n = 0
+            while n < len(chosen) and chosen[n] == rejected[n]:
+                n += 1
+            out[None if isinstance(conv, tuple) else conv, at] = (n, full(chosen[:n]), full(chosen[n:]), full(rejected[n:]))
     return out
 
 
 def test_records_match_brute_force_and_oracle(spark):
     rows = spark.createDataFrame(ROWS, TURNS)
-    records = chat.preferences(chat.stale_replies(chat.conversations(rows))).collect()
-    want = slow(ROWS)
-    assert {r["pair_id"]: (r["n_common"], r["prompt"], r["chosen"], r["rejected"]) for r in records} == {k: v for k, v in want.items()} or _null_text_equal(records, want)
+    records = chat.preferences(chat.stale_replies(chat.conversations(rows)), keys=("pair_id", "reply")).collect()
+    got, want = {(r["pair_id"], r["reply"]): (r["n_common"], r["prompt"], r["chosen"], r["rejected"]) for r in records}, slow(ROWS)
+    assert len(records) == len(want) and got == want
+    assert {r["n_common"] for r in records if r["pair_id"] == 1} == {2, 4}  # one pair parts in the middle
     for r in records:
         for side in ("chosen", "rejected"):
             for s in r[f"{side}_spans"]:
                 part = r[side][s["start"] : s["end"]]
                 assert part.endswith("<|end|>\n") and "<|assistant|>" not in part
     con = duckdb.connect()
-    con.register("conversations", pd.DataFrame([r[:4] for r in ROWS if r[0] is not None], columns=["conv_id", "turn", "role", "text"]))
-    found = chat.digest(chat.preferences(chat.stale_replies(chat.conversations(rows.where("conv_id is not null")))))
-    assert sorted(map(tuple, found.collect())) == sorted(tuple(r) for r in con.sql(chat.oracle()).fetchall())
-
-
-def _null_text_equal(records, want):
-    """A null text and an empty one are unlike as turns, but are written alike."""
-    return all(r["prompt"] + r["chosen"] == want[r["pair_id"]][1] + want[r["pair_id"]][2] and r["prompt"] + r["rejected"] == want[r["pair_id"]][1] + want[r["pair_id"]][3] for r in records) and len(records) == len(want)
+    con.register("conversations", pd.DataFrame([r[:4] for r in ROWS], columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64"}))
+    found = chat.digest(chat.preferences(chat.stale_replies(chat.conversations(rows)), keys=("pair_id", "reply")))
+    assert sorted(map(tuple, found.collect()), key=str) == sorted((tuple(r) for r in con.sql(chat.oracle()).fetchall()), key=str)
 
 
 def test_general_pairs(spark):
