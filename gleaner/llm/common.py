@@ -2,41 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gleaner import tables
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it.
-
-    Only a session that names none (a local test) gets a folder of this machine.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="gleaner-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: lineage ends there.
 
     Losing an executor costs no recomputation, as the files are outside of it.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark).rstrip('/')}/gleaner/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return tables.written(df, name)
 
 
 def fold(id_col: str, folds: int) -> Column:
@@ -50,15 +35,31 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
-#: Rows of an Arrow batch where rows hold whole texts; Spark's own default of ten thousand takes up to 64 MB, several times over.
-TEXT_ROWS = 2000
+#: Bytes of an Arrow batch where rows hold whole texts; Spark's own default is 64 MB, which the JVM and Python each hold more than once.
+TEXT_BYTES = 2 << 20
 
 
 def text_batches(spark: SparkSession) -> None:
     """Lets the session send texts to Python in smaller batches, unless it has a size of its own."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(name) == "10000":
-        spark.conf.set(name, TEXT_ROWS)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) in ("67108864b", "64MB", "67108864"):
+        spark.conf.set(name, TEXT_BYTES)
+
+
+def where_text(docs: DataFrame, text_col: str, decide: Callable[[list[str | None]], list[bool]]) -> DataFrame:
+    """Rows of docs whose text is decided for, a few texts at a time; columns are unchanged, whatever their names.
+
+    Texts alone go to Python and truth values come back: rows stay in the JVM and where they are.
+    """
+    text_batches(docs.sparkSession)
+
+    @F.arrow_udf("boolean")
+    def decided(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            found = [decide(column.slice(s, 512).to_pylist()) for s in range(0, len(column), 512)]
+            yield pa.array([x for part in found for x in part], pa.bool_())
+
+    return docs.where(decided(F.col(f"`{text_col}`").cast("string")))
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, first_of_groups, fold, materialise, slices, text_batches
+from .common import batch, first_of_groups, fold, materialise, slices, text_batches, where_text
 
 #: Hash buckets that character n-grams share.
 BUCKETS = 1 << 16
@@ -261,18 +261,16 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 def keep(docs: DataFrame, least: float = 0.3, text_col: str = "text", **columns) -> DataFrame:
     """Rows of docs in a known language: not ``und``, and predicted with a probability of ``least`` or more.
 
-    Columns are unchanged, whatever their names; each row is decided where it is read, so
-    no text is shuffled. Without any language to learn from, every row with a letter stays.
+    Null and empty texts and those without a letter go; repeated rows and rows of a null id
+    are each decided; an empty table gives an empty one. Columns are unchanged, whatever
+    their names; each row is decided where it is read, so no text is shuffled. Without any
+    language to learn from, every row with a letter stays.
     """
-    sent, at = learn(docs, text_col=text_col, **columns), docs.columns.index(text_col)
+    sent = learn(docs, text_col=text_col, **columns)
 
     def known(text: str | None) -> bool:
         if not sent.value.labels:
             return bool(len(grams(text)[0]))
         return sent.value.predict(text)[1] >= least
 
-    def run(batches):
-        for b in slices(batches):
-            yield b.filter(pa.array([known(t) for t in b.column(at).to_pylist()], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+    return where_text(docs, text_col, lambda texts: [known(t) for t in texts])

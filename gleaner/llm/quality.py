@@ -12,7 +12,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, fold, materialise, slices, text_batches
+from gleaner import tables
+
+from .common import batch, fold, materialise, slices, text_batches, where_text
 
 STATISTICS = (
     "log_chars", "log_words", "word_length", "word_length_sd", "distinct_words", "commonest_word", "adjacent_repeats", "distinct_triples",
@@ -219,13 +221,21 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return stats.mapInArrow(predict, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, left: int = 0, **fit) -> DataFrame:
-    """Rows of docs that score ``threshold`` or more; columns are unchanged, whatever their names, and no text is shuffled."""
-    stats = measured(docs.where(~held_out(id_col, folds, left)), id_col, text_col, folds, left)
-    sent, at = learn(stats, labels, id_col, folds=folds, left=left, **fit), docs.columns.index(text_col)
+#: Labels of which the ids are sent to where texts are read; more are joined after statistics, by a shuffle of those.
+FEW_LABELS = 500_000
 
-    def run(batches):
-        for b in slices(batches):
-            yield b.filter(pa.array(sent.value.score(_matrix(b.column(at).to_pylist())) >= threshold, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", folds: int = 5, left: int = 0, **fit) -> DataFrame:
+    """Rows of docs that score ``threshold`` or more.
+
+    Null and empty texts are scored like any other; repeated rows and rows of a null id
+    are each decided; an empty table gives an empty one; without labels every row stays.
+    Columns are unchanged, whatever their names; no text is shuffled. To learn, the rows
+    of labelled ids alone are measured if a count says that those are few.
+    """
+    taught = docs.where(~held_out(id_col, folds, left)).select(F.col(id_col).cast("long").alias(id_col), text_col)
+    known = labels.where(F.col(label_col).isNotNull()).select(F.col(id_col).cast("long").alias(id_col)).distinct()
+    if tables.few(known, FEW_LABELS):
+        taught = taught.join(F.broadcast(known), id_col, "left_semi")
+    sent = learn(measured(taught, id_col, text_col, folds, left), labels, id_col, label_col, folds, left, **fit)
+    return where_text(docs, text_col, lambda texts: (sent.value.score(_matrix(texts)) >= threshold).tolist())
