@@ -123,11 +123,20 @@ def train(rows: DataFrame, features: int = 256, ridge: float = 1e-3, width: floa
     """
     d = len(STATISTICS)
     fits, calibrates = rows.where("not calibrates"), rows.where("calibrates")
-    moments = fits.agg(F.count("*"), *[f(F.col("x")[i]) for i in range(d) for f in (F.avg, F.stddev_pop)]).first()
+
+    def sums(batches):
+        total = np.zeros((2, d + 1))
+        for b in batches:
+            x = b.column(0).flatten().to_numpy().reshape(-1, d)
+            total += np.column_stack([np.full(2, len(x)), np.stack([x.sum(axis=0), (x * x).sum(axis=0)])])
+        yield batch(_ROWS, [0, 1], [row.tobytes() for row in total])
+
+    (n, *first), (_, *second) = [np.frombuffer(r["row"]).tolist() for r in sorted(_add(fits.select("x").mapInArrow(sums, "i int, row binary")).collect(), key=lambda r: r["i"])] or [[0.0] * (d + 1)] * 2
+    mean = np.array(first) / max(n, 1)
+    scale = np.sqrt(np.maximum(np.array(second) / max(n, 1) - mean**2, 0))
     rng = np.random.default_rng(seed)
-    mean, scale = (np.array([moments[1 + 2 * i + k] or 0.0 for i in range(d)]) for k in (0, 1))
-    model = Model(mean, np.where(scale > 1e-9, scale, 1.0), rng.normal(0, 1 / (width * math.sqrt(d)), (d, features)), rng.uniform(0, 2 * math.pi, features))
-    if not moments[0]:
+    model = Model(mean, np.where(scale > 1e-6, scale, 1.0), rng.normal(0, 1 / (width * math.sqrt(d)), (d, features)), rng.uniform(0, 2 * math.pi, features))
+    if not n:
         return model
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
@@ -145,7 +154,7 @@ def train(rows: DataFrame, features: int = 256, ridge: float = 1e-3, width: floa
     found = _add(fits.select("x", "label").mapInArrow(equations, "i int, row binary")).collect()
     system = np.array([np.frombuffer(r["row"]) for r in sorted(found, key=lambda r: r["i"])])
     a, y = system[:, :-1], system[:, -1]
-    penalty = np.full(len(a), ridge * moments[0] / features)
+    penalty = np.full(len(a), ridge * n / features)
     penalty[-1] = 0
     model.weights = np.linalg.solve(a + np.diag(penalty) + 1e-9 * np.eye(len(a)), y)
 
