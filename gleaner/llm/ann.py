@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 
 from .common import batch, first_of_groups, materialise, unpack, vectors
 
-#: Rows that lists, probes and first bounds are fitted on, at most; every row is indexed.
-SAMPLE = 8192
-MOST_LISTS = 4096
+#: Rows that lists, probes and first bounds are fitted on: this many, or SAMPLE_A_LIST for each list, up to MOST_SAMPLE; every row is indexed.
+SAMPLE, SAMPLE_A_LIST, MOST_SAMPLE = 8192, 8, 65_536
+#: Lists, at most; there are as many as the root of the number of rows.
+MOST_LISTS = 8192
 #: Rows of a list that one task scans together; larger lists are dealt by a hash.
 BLOCK_ROWS = 8192
+#: Rows of a list between two bounds.
+SLICE = 1024
 #: Queries that a task meets with them, at most about so many.
 QUERY_BLOCK = 16_384
 
@@ -74,6 +77,15 @@ class Index:
             i, j, partial = i[on], j[on], partial[on]
         return i, j
 
+    def tighten(self, q: np.ndarray, reps: np.ndarray, radius: np.ndarray, best: pa.Table, k: int) -> None:
+        """Lowers the radius of queries of which k hits are known to the distance of the k-th."""
+        rep, score = best["rep"].to_numpy(), best["score"].to_numpy()  # by query, best first
+        full = np.flatnonzero(rep[k - 1 :] == rep[: max(0, len(rep) - k + 1)])
+        order = np.argsort(reps)
+        i = order[np.searchsorted(reps, rep[full], sorter=order)]
+        reach = (q[i] ** 2).sum(axis=1) + self.bound - 2 * score[full + k - 1]
+        radius[i] = np.minimum(radius[i], reach)
+
     def passes(self, partial: np.ndarray, radius: np.ndarray, seen: int, width: int) -> np.ndarray:
         slack = 1.0 if seen == width else (1 + self.strictness / np.sqrt(seen)) ** 2
         return partial * (width / seen) <= radius * slack + 1e-9
@@ -134,18 +146,31 @@ def best_rows(q: np.ndarray, reps: np.ndarray, x: np.ndarray, ids: list[list[int
     return pa.table([pa.array(reps[qi[best]]), pa.array(sc[best]), pa.array(vi[best])], schema=_HIT)
 
 
+def kept(hits: pa.Table, k: int) -> pa.Table:
+    """The k best hits of each query, ties to smaller ids."""
+    rep, score, vec_id = (hits[c].to_numpy() for c in ("rep", "score", "vec_id"))
+    order = np.lexsort((vec_id, -score, rep))
+    at = rep[order]
+    return hits.take(pa.array(order[np.arange(len(at)) - np.searchsorted(at, at) < k]))
+
+
 def search(embeddings: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", coverage: float = 0.97) -> DataFrame:
     """The k vectors of largest inner product found for each query: (query_id, rank, vec_id, score).
 
     Queries are the rows whose id is divisible by ``every``, candidates all rows but a
     query's own; ranks from 1, ties to smaller ids; scores are inner products of the
     original vectors in double precision. Fewer candidates give fewer rows. Vectors null,
-    zero or holding null or non-finite components take no part, nor do null ids; several
-    rows of one id are one if their vectors are equal. Empty tables give no rows; other columns are not read.
+    zero or holding null or non-finite components take no part, nor do null ids; a vector
+    shorter than the longest one has zeros behind it; several rows of one id are one if
+    their vectors are equal. Empty tables give no rows; other columns are not read.
 
     Equal vectors are one in the index, with their k + 1 least ids: no others can be among
     anyone's nearest, as ties go to the smaller. Large lists are dealt by a hash, and so are
     the queries that probe a list, so that neither side of a task grows with the table.
+
+    A query scans its nearest list first. The k + 1 best found there bound its scan of the
+    others, and in every list each slice of rows bounds the next, so that the share of
+    candidates that outlasts the first dimensions falls as lists grow.
     """
     spark = embeddings.sparkSession
     base = materialise(vectors(embeddings, id_col, vector_col).distinct(), "vectors")
@@ -161,7 +186,8 @@ def search(embeddings: DataFrame, k: int = 20, every: int = 20, id_col: str = "v
             yield pa.RecordBatch.from_arrays([pa.array([float((x * x).sum(axis=1).max())] if len(x) else [], pa.float64())], names=["bound"])
 
     bound = distinct.select("vector").mapInArrow(norms, "bound double").agg(F.max("bound")).first()[0]
-    picked = distinct.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).collect()
+    size = max(SAMPLE, min(MOST_SAMPLE, SAMPLE_A_LIST * round(n**0.5)))
+    picked = distinct.orderBy(F.xxhash64("rep"), "rep").limit(size).collect()
     index = spark.sparkContext.broadcast(fit(np.array([np.frombuffer(r["vector"], "<f8") for r in picked]), [r["ids"] for r in picked], bound * (1 + 1e-9), n, k, coverage))
 
     def assign(batches):
@@ -191,29 +217,44 @@ def search(embeddings: DataFrame, k: int = 20, every: int = 20, id_col: str = "v
     blocks = F.broadcast(materialise(counts, "blocks"))  # at most MOST_LISTS rows
     rows = rows.join(blocks, "list").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
-    def probe(batches):
-        for b in batches:
-            for s in range(0, b.num_rows, 1024):
-                c = b.slice(s, 1024)
-                q = unpack(c.column(1))
-                lists, radius = index.value.probe(q), index.value.radius(q, k)
-                times = lists.shape[1]
-                pick = pa.array(np.repeat(np.arange(len(q)), times))
-                yield pa.RecordBatch.from_arrays([pa.array(lists.ravel(), pa.int32()), c.column(0).take(pick), c.column(1).take(pick), pa.array(np.repeat(radius, times))], schema=_PROBE)
+    def probes_of(queries: DataFrame, ranks: slice) -> DataFrame:
+        """The lists of these ranks for queries (rep, vector, low), low the least score that matters, if one is known."""
 
-    probes = wanted.mapInArrow(probe, "list int, rep long, vector binary, radius double")
-    probes = probes.join(parts, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    probes = probes.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks")
+        def run(batches):
+            for b in batches:
+                for s in range(0, b.num_rows, 1024):
+                    c = b.slice(s, 1024)
+                    q, low = unpack(c.column(1)), c.column(2).to_numpy(zero_copy_only=False).astype(float)
+                    lists = index.value.probe(q)[:, ranks]
+                    radius = np.fmin(index.value.radius(q, k), (q * q).sum(axis=1) + index.value.bound - 2 * low)
+                    times = lists.shape[1]
+                    pick = pa.array(np.repeat(np.arange(len(q)), times))
+                    yield pa.RecordBatch.from_arrays([pa.array(lists.ravel(), pa.int32()), c.column(0).take(pick), c.column(1).take(pick), pa.array(np.repeat(radius, times))], schema=_PROBE)
+
+        probes = queries.mapInArrow(run, "list int, rep long, vector binary, radius double")
+        probes = probes.join(parts, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        return probes.join(blocks, "list").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).drop("blocks")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         x, ids, found = unpack(left["vector"]), left["ids"].to_pylist(), []
         for s in range(0, right.num_rows, 256):
             part = right.slice(s, 256)
-            q = unpack(part["vector"])
-            i, j = index.value.scan(x, q, part["radius"].to_numpy())
-            found.append(best_rows(q, part["rep"].to_numpy(), x, ids, i, j, k + 1))
+            q, reps, radius = unpack(part["vector"]), part["rep"].to_numpy(), part["radius"].to_numpy().copy()
+            best = _HIT.empty_table()
+            for r in range(0, len(x), SLICE):
+                i, j = index.value.scan(x[r : r + SLICE], q, radius)
+                if not len(i):
+                    continue
+                best = kept(pa.concat_tables([best, best_rows(q, reps, x, ids, i, j + r, k + 1)]), k + 1)
+                index.value.tighten(q, reps, radius, best, k + 1)
+            found.append(best)
         return pa.concat_tables(found) if found else _HIT.empty_table()
 
+    def visit(probes: DataFrame) -> DataFrame:
+        """Queries without rows in a list have nothing to meet there and the other way round."""
+        keys = ["list", "part", "block"]
+        return rows.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInArrow(meet, "rep long, score double, vec_id long")
+
     def sampled(batches):
         """What the sample offers each query: with it, fewer than k rows are found only where there aren't more."""
         for b in batches:
@@ -224,9 +265,10 @@ def search(embeddings: DataFrame, k: int = 20, every: int = 20, id_col: str = "v
                 j = np.argpartition(-(q @ x.T), n - 1, axis=1)[:, :n]
                 yield from best_rows(q, c.column(0).to_numpy(), x, index.value.sample_ids, np.repeat(np.arange(len(q)), n), j.ravel(), k + 1).to_batches()
 
-    # Queries without rows in a list have nothing to meet there and the other way round.
-    keys = ["list", "part", "block"]
-    hits = rows.groupBy(*keys).cogroup(probes.groupBy(*keys)).applyInArrow(meet, "rep long, score double, vec_id long")
+    near = materialise(visit(probes_of(wanted.withColumn("low", F.lit(None).cast("double")), slice(0, 1))), "near")
+    reached = near.groupBy("rep").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k + 1)
+    bounded = wanted.join(reached, "rep", "left").select("rep", "vector", F.col("least").alias("low"))
+    hits = near.unionByName(visit(probes_of(bounded, slice(1, None)))) if index.value.probes > 1 else near
     hits = hits.unionByName(wanted.mapInArrow(sampled, "rep long, score double, vec_id long")).withColumn("less", -F.col("score"))
     best = first_of_groups(hits, ["rep"], ["less", "vec_id"], 2 * k + 2, salts=1)  # a row may be found both ways
     best = best.groupBy("rep").agg(F.sort_array(F.collect_set(F.struct("less", "vec_id", "score"))).alias("best"))

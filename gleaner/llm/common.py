@@ -92,26 +92,25 @@ _VECTOR = pa.schema([("vec_id", pa.int64()), ("vector", pa.binary())])
 def vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", zero: bool = False) -> DataFrame:
     """(vec_id, vector) with vector packed as little-endian doubles.
 
-    Vectors null, empty or holding null or non-finite components are left out, and zero
-    ones too unless zero; so are rows of null id, and vectors of another length than most.
+    Vectors null or holding null or non-finite components are left out, and zero ones too
+    unless zero; so are rows of null id. A vector shorter than the longest one counts as
+    one with zeros behind it, an empty one as zero.
     """
-    source = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x")).where("vec_id is not null and size(x) > 0")
-    length = source.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    if not length:
-        return source.select("vec_id", F.lit(None).cast("binary").alias("vector")).where("false")
-    n = length[0]["n"]
+    source = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x")).where("vec_id is not null and x is not null")
+    n = max(1, source.agg(F.max(F.size("x"))).first()[0] or 0)
 
     def run(batches):
         for b in batches:
-            lists = b.column(1)
-            x = lists.flatten().to_numpy(zero_copy_only=False).reshape(-1, n)
+            sizes = np.diff(b.column(1).offsets.to_numpy())
+            x = np.zeros((b.num_rows, n))
+            x[np.arange(n) < sizes[:, None]] = b.column(1).flatten().to_numpy(zero_copy_only=False)
             good = np.isfinite(x).all(axis=1)
             if not zero:
                 good &= (x != 0).any(axis=1)
             ids = b.column(0).to_numpy(zero_copy_only=False)[good]
             yield batch(_VECTOR, ids, [v.tobytes() for v in x[good].astype("<f8")])
 
-    return source.where(F.size("x") == n).mapInArrow(run, "vec_id long, vector binary")
+    return source.mapInArrow(run, "vec_id long, vector binary")
 
 
 def unpack(column: pa.ChunkedArray | pa.Array) -> np.ndarray:

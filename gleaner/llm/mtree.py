@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import first_of_groups, materialise, unpack, vectors
+from .common import batch, first_of_groups, materialise, unpack, vectors
 
 #: Rows that the top level and first bounds are fitted on, at most; every row is in the tree.
 SAMPLE = 8192
@@ -133,6 +133,32 @@ class Subtree:
         return at, best
 
 
+def narrow(x: np.ndarray) -> bytes:
+    """Rows of integers in as few bytes as hold the largest, and before them a letter for how many."""
+    most = np.abs(x).max(initial=0)
+    kind = "h" if most < 1 << 15 else "i" if most < 1 << 31 else "d"
+    return kind.encode() + x.astype(f"<{ {'h': 'i2', 'i': 'i4', 'd': 'f8'}[kind] }").tobytes()
+
+
+def widen(data: bytes, rows: int) -> np.ndarray:
+    return np.frombuffer(data, f"<{ {'h': 'i2', 'i': 'i4', 'd': 'f8'}[data[:1].decode()] }", offset=1).reshape(rows, -1).astype(np.float64)
+
+
+_ASK = pa.schema([("router", pa.int32()), ("block", pa.int32()), ("seen", pa.bool_()), ("reps", pa.list_(pa.int64())), ("least", pa.list_(pa.int64())), ("vectors", pa.binary())])
+ASK = "router int, block int, seen boolean, reps array<bigint>, least array<bigint>, vectors binary"
+
+
+def asked_together(rep: np.ndarray, block: np.ndarray, least: list[int | None], q: np.ndarray, i: np.ndarray, router: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
+    """Queries i that go to each router, a row for all that go there together; seen: those that were in its first part before."""
+    key = np.stack([router, block[i], seen.astype(np.int64)])
+    order = np.lexsort(key)
+    cuts = np.flatnonzero((np.diff(key[:, order]) != 0).any(axis=0)) + 1
+    groups = np.split(order, cuts) if len(order) else []
+    columns = [[int(k[g[0]]) for g in groups] for k in key[:2]] + [[bool(key[2, g[0]]) for g in groups]]
+    of = [i[g] for g in groups]
+    return batch(_ASK, *columns, [rep[m].tolist() for m in of], [[least[x] for x in m] for m in of], [narrow(q[m]) for m in of])
+
+
 _HIT = pa.schema([("rep", pa.int64()), ("score", pa.int64()), ("vec_id", pa.int64())])
 
 
@@ -163,16 +189,17 @@ def search(embeddings: DataFrame, k: int = 10, every: int = 100, scale: int = 10
 
     Components x become floor(scale * x). Queries are the rows whose id is divisible by
     ``every``, candidates all rows but a query's own; ranks from 1, ties to smaller ids;
-    fewer candidates give fewer rows. Vectors null, empty or holding null or non-finite
-    components take no part, nor do null ids, vectors of another length than most, or
-    vectors so long that their products don't fit a long. Zero vectors take part. Several
-    rows of one id are one if their vectors are equal. An empty table gives no rows; other
+    fewer candidates give fewer rows. Vectors null or holding null or non-finite components
+    take no part, nor do null ids, or vectors so long (2 ** 31 or more, as integers) that
+    products don't fit a long. Zero vectors take part, and a vector shorter than the
+    longest one has zeros behind it. Several rows of one id are one if their vectors are equal. An empty table gives no rows; other
     columns are not read.
 
     Equal vectors are one entry, with their k + 1 least ids. Each task builds or searches
     one part of at most about PART_ROWS entries for at most about QUERY_BLOCK queries. A
     query first visits the part nearest to it, and what it finds there bounds the second
-    visit, to all parts that its bound doesn't rule out.
+    visit, to all parts that its bound doesn't rule out. Queries that go the same way go
+    together, as one row of as few bytes as their integers take.
     """
     spark, keep = embeddings.sparkSession, k + 1
     base = vectors(embeddings, id_col, vector_col, zero=True)
@@ -203,7 +230,9 @@ def search(embeddings: DataFrame, k: int = 10, every: int = 100, scale: int = 10
 
     routed = materialise(distinct.mapInArrow(route, "router int, rep long, vector binary, ids array<bigint>"), "routed")
     parts = routed.groupBy("router").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
-    parts = F.broadcast(materialise(parts, "parts"))  # at most MOST_ROUTERS rows
+    parts = materialise(parts, "parts")  # at most MOST_ROUTERS rows
+    many = dict(parts.collect())
+    several, parts = spark.sparkContext.broadcast(np.array([many.get(i, 0) for i in range(routers)])), F.broadcast(parts)
 
     def built(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
         router, part = key[0].as_py(), key[1].as_py()
@@ -228,44 +257,58 @@ def search(embeddings: DataFrame, k: int = 10, every: int = 100, scale: int = 10
                 q = unpack(c.column(1))
                 home, least = gaps(np.column_stack([q, np.zeros(len(q))]), top.value.routers), top.value.first_bound(q, keep)
                 home = np.where(np.isneginf(covers.value), np.inf, home).argmin(axis=1)
-                yield pa.RecordBatch.from_arrays([c.column(0), c.column(1), pa.array(least if least is not None else [None] * len(q), pa.int64()), pa.array(home, pa.int32())], names=["rep", "vector", "least", "home"])
+                yield pa.RecordBatch.from_arrays([*c.columns, pa.array(least if least is not None else [None] * len(q), pa.int64()), pa.array(home, pa.int32())], names=["rep", "vector", "block", "least", "home"])
+
+    first_asks = wanted.withColumn("block", block).mapInArrow(first, "rep long, vector binary, block int, least long, home int")
+    first_asks = materialise(first_asks, "asks")
 
-    first_asks = materialise(wanted.mapInArrow(first, "rep long, vector binary, least long, home int"), "asks")
+    def together(batches, of):
+        """Asks of batches of (rep, vector, block, least, home); of: which queries go to which routers, and whether they have been there."""
+        for b in batches:
+            for s in range(0, b.num_rows, 1024):
+                c = b.slice(s, 1024)
+                q, least, home = unpack(c.column(1)), c.column(3).to_pylist(), c.column(4).to_numpy()
+                i, router = of(q, least, home)
+                yield asked_together(c.column(0).to_numpy(), c.column(2).to_numpy(), least, q, i, router, router == home[i])
 
     def meet(pages: pa.Table, queries: pa.Table) -> pa.Table:
         hits = []
         if pages.num_rows and queries.num_rows:
             subtree = Subtree(pages, top.value.bound, top.value.exact)
-            for rep, q, least in zip(queries["rep"].to_pylist(), unpack(queries["vector"]), queries["least"].to_pylist(), strict=True):
-                at, scores = subtree.search(q, least, keep)
-                hits += best_ids(rep, [subtree.ids[i] for i in at], scores, keep)
+            for reps, bounds, vectors in zip(queries["reps"].to_pylist(), queries["least"].to_pylist(), queries["vectors"].to_pylist(), strict=True):
+                for rep, least, q in zip(reps, bounds, widen(vectors, len(reps)), strict=True):
+                    at, scores = subtree.search(q, least, keep)
+                    hits += best_ids(rep, [subtree.ids[i] for i in at], scores, keep)
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in (zip(*hits, strict=True) if hits else ([], [], []))], schema=_HIT)
 
     def visit(asks: DataFrame) -> DataFrame:
-        """asks (rep, vector, least, router, part, block): pages go to the blocks that ask for them."""
+        """asks (as _ASK, and part): pages go to the blocks that ask for them."""
         places = asks.select(F.col("router").alias("r"), F.col("part").alias("p"), F.col("block").alias("to")).distinct()
         left = tree.join(places, (F.col("router") == F.col("r")) & (F.col("part") == F.col("p"))).drop("r", "p").groupBy("router", "part", "to")
         return left.cogroup(asks.groupBy("router", "part", "block")).applyInArrow(meet, "rep long, score long, vec_id long")
 
-    home = first_asks.select("rep", "vector", "least", F.col("home").alias("router"), F.lit(0).alias("part"), block.alias("block"))
+    def go_home(batches):
+        yield from together(batches, lambda q, least, home: (np.arange(len(q)), home))
+
+    home = first_asks.mapInArrow(go_home, ASK).withColumn("part", F.lit(0))
     hits = materialise(visit(home), "home")
     reached = hits.groupBy("rep").agg(F.count("*").alias("n"), F.min("score").alias("low"))
-    bounds = first_asks.join(reached, "rep", "left").withColumn("least", F.greatest("least", F.when(F.col("n") >= keep, F.col("low")))).drop("n", "low")
+    bounds = first_asks.join(reached, "rep", "left").withColumn("least", F.greatest("least", F.when(F.col("n") >= keep, F.col("low"))))
+
+    def not_ruled_out(q, least, home):
+        bound = np.array([np.nan if x is None else x for x in least], float)
+        reach = np.sqrt(np.maximum((q * q).sum(axis=1) + top.value.bound - 2 * bound, 0)) + 1e-6 * max(1.0, top.value.bound**0.5)
+        low = gaps(np.column_stack([q, np.zeros(len(q))]), top.value.routers) - covers.value
+        i, j = np.nonzero(~(low > reach[:, None]) & np.isfinite(covers.value))
+        on = (j != home[i]) | (several.value[j] > 1)
+        return i[on], j[on]
 
     def rest(batches):
-        for b in batches:
-            for s in range(0, b.num_rows, 1024):
-                c = b.slice(s, 1024)
-                q, least = unpack(c.column(1)), c.column(2).to_numpy(zero_copy_only=False).astype(float)
-                reach = np.sqrt(np.maximum((q * q).sum(axis=1) + top.value.bound - 2 * least, 0)) + 1e-6 * max(1.0, top.value.bound**0.5)
-                low = gaps(np.column_stack([q, np.zeros(len(q))]), top.value.routers) - covers.value
-                i, j = np.nonzero(~(low > reach[:, None]) & np.isfinite(covers.value))
-                pick = pa.array(i)
-                yield pa.RecordBatch.from_arrays([*[c.column(m).take(pick) for m in range(4)], pa.array(j, pa.int32())], names=["rep", "vector", "least", "home", "router"])
-
-    more = bounds.select("rep", "vector", "least", "home").mapInArrow(rest, "rep long, vector binary, least long, home int, router int").join(parts, "router")
-    more = more.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("router <> home or part > 0")
-    hits = hits.unionByName(visit(materialise(more.select("rep", "vector", "least", "router", "part", block.alias("block")), "asks"))).withColumn("less", -F.col("score"))
+        yield from together(batches, not_ruled_out)
+
+    more = bounds.select("rep", "vector", "block", "least", "home").mapInArrow(rest, ASK).join(parts, "router")
+    more = more.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("not seen or part > 0").drop("parts")
+    hits = hits.unionByName(visit(materialise(more, "asks"))).withColumn("less", -F.col("score"))
     best = first_of_groups(hits, ["rep"], ["less", "vec_id"], keep)
     best = best.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("less", "vec_id", "score"))).alias("best"))
     answers = asked.withColumnRenamed("vec_id", "query_id").join(best, "rep")
