@@ -63,6 +63,30 @@ def test_stages_take_empty_tables(spark, tmp_path):
         assert stage(spark, docs, str(tmp_path)).count() == 0
 
 
+def test_stages_take_clashing_columns_long_texts_repeats_and_nulls(spark, tmp_path):
+    rows, good = tables(spark, str(tmp_path))
+    rng = np.random.default_rng(4)
+    long, other = (" ".join(rng.choice(WORDS[lang], 150_000)) + "." for lang in ("en", "fr"))
+    extra = [(5000, long, "en", "s9"), (5001, other, None, None), *[(5002, rows[3][1] + " once more", "fr", "s1")] * 3, (None, rows[5][1] + " without an id", "fr", None)]
+    wide = [(*(r[:4]), 1, 2, 0.5, "x", "y", 3, [1], 4) for r in [*rows, *extra]]
+    docs = spark.createDataFrame(wide, "doc_id long, text string, lang string, source string, n_chars long, __salt int, score double, row string, d string, fp long, draws array<int>, size int")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/wide{k}.parquet")
+        if k < 4:
+            assert out.columns == docs.columns and out.dtypes == docs.dtypes
+            docs = spark.read.parquet(f"{tmp_path}/wide{k}.parquet")
+            ids = [r["doc_id"] for r in docs.select("doc_id").collect()]
+            if k < 2:
+                assert {5000, 5001, 5002, None} <= set(ids) and ids.count(5002) == 3
+            if k == 2:
+                assert {5000, 5001} <= set(ids) and ids.count(5002) <= 1
+            lengths = {r["doc_id"]: r["n"] for r in docs.selectExpr("doc_id", "length(text) as n").collect()}
+            assert lengths.get(5000, len(long)) == len(long)
+    packed = spark.read.parquet(f"{tmp_path}/wide4.parquet")
+    assert  packed.groupBy("sequence_id").agg({"length": "sum"}).where("`sum(length)` > 1024").count() == 0
+
+
 def test_keep_one_of_rows_without_ids_and_repeated_ids(spark):
     long = " ".join(f"w{i}" for i in range(50))
     rows = [(None, "a b c d e", 1), (None, "a b c d e", 2), (None, "q r s t u v", 1), (5, long, 1), (5, long, 1), (5, "other words in this one here", 1), (7, long, 3), (8, None, 1), (9, "", 1)]
