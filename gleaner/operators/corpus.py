@@ -31,16 +31,23 @@ STATISTICAL_REGIONS = frozenset(
 )
 BOROUGHS = frozenset(("manhattan", "brooklyn", "queens", "the bronx", "bronx", "staten island"))
 ABBREVIATIONS = {
-    "GB": "street=st road=rd avenue=ave lane=ln drive=dr court=ct place=pl square=sq crescent=cres gardens=gdns terrace=terr",
-    "DE": "straße=str. strasse=str. platz=pl.",
-    "US": "street=st street=str avenue=ave avenue=avnu avenue=avnue boulevard=blvd road=rd drive=dr drive=dve mile=mi lane=ln court=ct place=pl parkway=pkwy highway=hwy north=n south=s east=e west=w west=wst",
-    "GE": "avenue=ave street=st გამზირი=გამზ. ქუჩა=ქ.",
-}
+    "GB": (
+        ("street", "st"), ("road", "rd"), ("avenue", "ave"), ("lane", "ln"), ("drive", "dr"), ("court", "ct"), ("place", "pl"), ("square", "sq"), ("crescent", "cres"),
+        ("gardens", "gdns"), ("terrace", "terr"),
+    ),
+    "DE": (("straße", "str."), ("strasse", "str."), ("platz", "pl.")),
+    "US": (
+        ("street", "st"), ("street", "str"), ("avenue", "ave"), ("avenue", "avnu"), ("avenue", "avnue"), ("boulevard", "blvd"), ("road", "rd"), ("drive", "dr"), ("drive", "dve"),
+        ("mile", "mi"), ("lane", "ln"), ("court", "ct"), ("place", "pl"), ("parkway", "pkwy"), ("highway", "hwy"), ("north", "n"), ("south", "s"), ("east", "e"), ("west", "w"),
+        ("west", "wst"),
+    ),
+    "GE": (("avenue", "ave"), ("street", "st"), ("გამზირი", "გამზ."), ("ქუჩა", "ქ.")),
+}
 
 
-def abbreviations(country: str) -> list[tuple[str, str]]:
+def abbreviations(country: str) -> tuple[tuple[str, str], ...]:
     """(full, short) words of roads."""
-    return [tuple(p.split("=")) for p in ABBREVIATIONS.get(country, "").split()]
+    return ABBREVIATIONS.get(country, ())
 
 
 @dataclass(frozen=True)
@@ -329,7 +336,7 @@ def prepare(found: DataFrame, order: str, quota: int, seed: int = 0) -> DataFram
     from . import dedup, splits
 
     kept = found.where("reason is null").withColumn("split", splits.split_12(F.col("group_key"), seed))
-    kept = dedup.keep_first(kept, F.col("fingerprint"), [order])
+    kept = dedup.same_place(dedup.keep_first(kept, F.col("fingerprint"), [order]), [order])
     return splits.quotas(kept, ["country", "split"], [order], quota, is_place_only(F.col("spans")))
 
 

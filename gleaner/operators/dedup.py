@@ -10,14 +10,15 @@ from gleaner.tables import spread, written
 
 
 def keep_first(rows: DataFrame, key: Column, order: list[str]) -> DataFrame:
-    """The first row of each key by order, a total one; columns unchanged.
+    """The first row of each key by order, a total one, and every row of a null key; columns unchanged.
 
     The least order of each key is found by a combined aggregate and joined back, so that a
     key with very many copies is no task's burden.
     """
-    keyed = rows.withColumn("__key", F.xxhash64(key)).withColumn("__of", F.struct(*order))
-    least = keyed.groupBy("__key").agg(F.min("__of").alias("__least")).withColumnRenamed("__key", "__k")
-    return keyed.join(least, (F.col("__key") == F.col("__k")) & F.col("__of").eqNullSafe(F.col("__least")), "left_semi").drop("__key", "__of")
+    keyed = rows.withColumns({"__key": key, "__of": F.struct(*order)})
+    least = keyed.where("__key is not null").groupBy(F.col("__key").alias("__k")).agg(F.min("__of").alias("__least"))
+    first = keyed.join(least, (F.col("__key") == F.col("__k")) & F.col("__of").eqNullSafe(F.col("__least")), "left_semi")
+    return first.unionByName(keyed.where("__key is null")).drop("__key", "__of")
 
 
 def duplicates(rows: DataFrame, key: Column, id_col: str) -> DataFrame:
@@ -91,6 +92,38 @@ def near_duplicates(rows: DataFrame, id_col: str, tokens: Column, size: int = 7,
     return found.select("id", F.least(own, "earlier").alias("prior")).where("prior is not null")
 
 
+def same_place(rows: DataFrame, order: list[str], country: str = "country", text: str = "text", spans: str = "spans") -> DataFrame:
+    """Of rows that name a place alone, without house number, road or PO box, the first of equal labelled components; all others stay.
+
+    What isn't labelled (the name of a venue) makes no difference.
+    """
+    part = lambda s: F.substring(F.encode(text, "UTF-8"), s["start"] + 1, s["end"] - s["start"]).cast("string")
+    named = F.concat_ws("\u0001", country, F.array_join(F.transform(spans, lambda s: F.concat(s["label"], F.lit("\u0002"), part(s))), "\u0001"))
+    street = F.exists(spans, lambda s: s["label"].isin("house_number", "road", "po_box"))
+    return keep_first(rows, F.when(~street, named), order)
+
+
 def greedy_signature(kinds: Column, words: Column) -> Column:
     """A label signature: sorted pairs of kind and words, as a blocking key."""
     return F.to_json(F.array_sort(F.zip_with(kinds, words, lambda k, w: F.struct(k.alias("kind"), w.alias("words")))))
+
+
+def near_within(rows: DataFrame, id_col: str, tokens: Column, signature: Column, size: int = 7, threshold: float = 0.80, least: int = 5) -> DataFrame:
+    """(id, prior): rows that go because an earlier row of the same signature that stays is near, and the earliest such.
+
+    What goes makes no other row go. Rounds decide: a row that no undecided earlier one is
+    near to stays, and whatever is near to it and later goes.
+    """
+    block = signature.cast("string")
+    pairs = containment_pairs(rows, id_col, tokens, size, threshold, least, [block], distinct_sets=False)
+    left = written(pairs.select(F.col("id").alias("a"), F.col("other").alias("b")), "near")
+    gone: DataFrame | None = None
+    while not left.isEmpty():
+        later = left.select(F.col("b").alias("a")).distinct()
+        staying = left.select("a").distinct().join(later, "a", "left_anti")
+        hit = written(left.join(staying, "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("prior")), "gone")
+        gone = hit if gone is None else gone.unionByName(hit)
+        decided = staying.unionByName(hit.select(F.col("id").alias("a"))).distinct()
+        left = left.join(decided, "a", "left_anti").join(hit.select(F.col("id").alias("b")), "b", "left_anti")
+        left = written(left.select("a", "b"), "near")
+    return gone if gone is not None else left.select(F.col("a").alias("id"), F.col("b").alias("prior"))

@@ -6,15 +6,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as texts
-from gleaner.tables import spread
+from gleaner.tables import few, spread, written
 
-#: Rows of a side that is broadcast; a larger one is shuffled.
-BROADCAST_ROWS = 2_000_000
+#: Rows, and bytes of files, of a side that is broadcast; a larger one is shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 
-def small(rows: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """rows, to be broadcast if a count says that they are few."""
-    return F.broadcast(rows) if rows.limit(limit + 1).count() <= limit else rows
+def small(rows: DataFrame, limit: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> DataFrame:
+    """rows, worked out once, to be broadcast if they are few in number and in bytes."""
+    side = written(rows, "side")
+    held = side._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= size
+    return F.broadcast(side) if held and few(side, limit) else side
 
 
 def prose_overlap(docs: DataFrame, gold: DataFrame, doc_id: str, gold_id: str, doc_text: str = "text", gold_text: str = "text", size: int = 12) -> DataFrame:

@@ -88,6 +88,21 @@ def matching(pairs: list[tuple[int, int]]) -> dict[int, int]:
     return owner
 
 
+def overlapping(left: list[list[int]], right: list[list[int]], least_iou: float = 0.0) -> list[tuple[int, int]]:
+    """Pairs (place in left, place in right) of spans that overlap, in a sweep over starts: only open spans meet."""
+    events = sorted([(s, 0, i) for i, (s, _) in enumerate(left)] + [(s, 1, i) for i, (s, _) in enumerate(right)])
+    spans, still, pairs = (left, right), ([], []), []
+    for at, side, i in events:
+        end, other = spans[side][i][1], spans[1 - side]
+        still[1 - side][:] = [j for j in still[1 - side] if other[j][1] > at]
+        for j in still[1 - side] if end > at else ():
+            shared, whole = min(end, other[j][1]) - at, max(end, other[j][1]) - min(at, other[j][0])
+            if shared > 0 and shared >= least_iou * whole:
+                pairs.append((j, i) if side else (i, j))
+        still[side].append(i)
+    return sorted(pairs)
+
+
 def one_to_one(gold: DataFrame, predicted: DataFrame, doc: str, least_iou: float = 0.0) -> DataFrame:
     """(doc, kind, matched): sizes of largest one-to-one matchings of overlapping spans of a kind, document by document."""
     schema = f"{doc} {dict(gold.dtypes)[doc]}, kind string, matched int"
@@ -95,13 +110,8 @@ def one_to_one(gold: DataFrame, predicted: DataFrame, doc: str, least_iou: float
     def run(key, left, right):
         import pandas as pd
 
-        a, b = left[["start", "end"]].to_numpy(), right[["start", "end"]].to_numpy()
-        pairs = []
-        for i, (s, e) in enumerate(b.tolist()):
-            for j, (x, y) in enumerate(a.tolist()):
-                shared = min(e, y) - max(s, x)
-                if shared > 0 and shared >= least_iou * (max(e, y) - min(s, x)):
-                    pairs.append((i, j))
+        a, b = (side[["start", "end"]].to_numpy().tolist() for side in (left, right))
+        pairs = overlapping(b, a, least_iou)
         return pd.DataFrame({doc: [key[0]], "kind": [key[1]], "matched": [len(matching(pairs))]})
 
     return gold.groupBy(doc, "kind").cogroup(predicted.groupBy(doc, "kind")).applyInPandas(run, schema)
@@ -128,6 +138,47 @@ def error_classes(gold: DataFrame, predicted: DataFrame, doc: str) -> DataFrame:
     return marked.join(seen, identity, "left").withColumn("error", kind).drop("__equal", "__same")
 
 
+def errors_both_ways(gold: DataFrame, predicted: DataFrame, doc: str) -> DataFrame:
+    """(side, doc, kind, start, end, error): what is wrong with predictions, and what became of gold spans."""
+    columns = [doc, "kind", "start", "end"]
+    of = lambda side, a, b: error_classes(a, b, doc).select(F.lit(side).alias("side"), *columns, "error")
+    return of("predicted", gold.select(*columns), predicted.select(*columns)).unionByName(of("gold", predicted.select(*columns), gold.select(*columns)))
+
+
+def macro_f1(gold: DataFrame, predicted: DataFrame, identity: list[str], kinds: tuple[str, ...] = ("person", "org", "address")) -> DataFrame:
+    """(macro_f1): the mean over kinds of the F1 of exact spans; a kind that neither side has counts as 0."""
+    by_kind = exact_score(gold, predicted, ["kind"], identity).where(F.col("kind").isin(list(kinds)))
+    return by_kind.agg((F.coalesce(F.sum("f1"), F.lit(0.0)) / len(kinds)).alias("macro_f1"))
+
+
+def component_scores(gold: DataFrame, predicted: DataFrame, key: str, by: str = "country") -> DataFrame:
+    """(country, label, gold, predicted, tp, precision, recall, f1) of components (key, country, label, start, end): by label, by country and over all."""
+    identity = [key, "label", "start", "end"]
+    hits = exact_matches(gold, predicted, identity).select(by, "label", F.lit(0).alias("gold"), F.lit(1).alias("predicted"), F.col("matched").cast("int").alias("tp"))
+    rows = hits.unionByName(gold.select(by, "label", F.lit(1).alias("gold"), F.lit(0).alias("predicted"), F.lit(0).alias("tp")))
+    counts = rows.groupingSets([[F.col("label")], [F.col(by)], []], by, "label").agg(*[F.sum(c).alias(c) for c in ("gold", "predicted", "tp")])
+    return with_prf(counts)
+
+
+def parse_scores(rows: DataFrame, by: str = "country", text: str = "text", gold: str = "gold", predicted: str = "predicted") -> DataFrame:
+    """(country, rows, exact, exact_rate, characters, correct, accuracy) of addresses with arrays of (label, start, end), and over all with a null.
+
+    A parse is exact if both sides have the same components, as often. A character, white
+    space apart, is correct if both sides give it the same label, or none. Rows without a
+    text, or with null arrays, have no characters, or no components.
+    """
+    own = lambda c: F.coalesce(F.transform(c, lambda s: F.struct(s["label"].alias("label"), s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"))), F.array().cast("array<struct<label:string,start:int,end:int>>"))
+    base = rows.select(F.col(by).alias(by), F.coalesce(text, F.lit("")).alias("t"), own(gold).alias("g"), own(predicted).alias("p"))
+    label_at = lambda spans, at: F.get(F.filter(spans, lambda s: (s["start"] <= at) & (at < s["end"])), F.lit(0))["label"]
+    places = F.when(F.length("t") > 0, F.sequence(F.lit(1), F.length("t"))).otherwise(F.array().cast("array<int>"))
+    inked = F.filter(places, lambda i: ~F.substring(F.col("t"), i, F.lit(1)).rlike(r"(?U)^\s$"))
+    starts = F.transform(inked, lambda i: F.octet_length(F.substring(F.col("t"), F.lit(1), i - 1)))
+    right = F.size(F.filter(starts, lambda at: label_at(F.col("g"), at).eqNullSafe(label_at(F.col("p"), at))))
+    marked = base.select(by, (F.array_sort("g") == F.array_sort("p")).cast("int").alias("exact"), F.size(inked).alias("characters"), right.alias("correct"))
+    counts = marked.groupingSets([[F.col(by)], []], by).agg(F.count("*").alias("rows"), *[F.sum(c).alias(c) for c in ("exact", "characters", "correct")])
+    return counts.withColumns({"exact_rate": ratio(F.col("exact"), F.col("rows")), "accuracy": ratio(F.col("correct"), F.col("characters"))})
+
+
 def align(cases: DataFrame, predictions: DataFrame, key: str, value: str) -> DataFrame:
     """Every case with its predictions; a case left out predicts nothing, a name that is no case is an error."""
     if not predictions.join(cases, key, "left_anti").isEmpty():
@@ -221,6 +272,15 @@ def exact_cards(gold: DataFrame, predicted: DataFrame, doc: str) -> DataFrame:
     return gold.agg(F.count("*").alias("gold")).crossJoin(found)
 
 
+def field_ownership(gold: DataFrame, predicted: DataFrame, doc: str) -> DataFrame:
+    """(kind, correct, wrong, missed, accuracy) of members by kind: who is taken to own each email, phone and address."""
+    keys = [doc, "kind", "start", "end"]
+    met = gold.select(*keys, F.col("owner").alias("g")).join(predicted.select(*keys, F.col("owner").alias("p")), keys, "left")
+    right, missed = F.col("g").eqNullSafe(F.col("p")), F.col("g").isNotNull() & F.col("p").isNull()
+    n = lambda c, name: F.sum(c.cast("int")).alias(name)
+    return met.groupBy("kind").agg(n(right, "correct"), n(~right & ~missed, "wrong"), n(missed, "missed")).withColumn("accuracy", ratio(F.col("correct"), F.col("correct") + F.col("wrong") + F.col("missed")))
+
+
 def drop_counts(rows: DataFrame, reason: str = "reason") -> DataFrame:
     return rows.groupBy(reason).agg(F.count("*").alias("n"))
 

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from pathlib import Path
 
 import numpy as np
 
@@ -53,6 +55,39 @@ def read_bundle(data: bytes, checksum: str | None = None) -> tuple[dict[str, str
     return header.get("__metadata__") or {}, tensors
 
 
+@dataclass(frozen=True)
+class Model:
+    """What a model directory holds: metadata and tensors, verified, and the hints that requests without any get."""
+
+    metadata: dict
+    tensors: dict[str, np.ndarray]
+    country_hint: tuple[str, ...]
+
+
+def read_model(folder: str, runtime: str | None = None) -> Model:
+    """The model of a directory: bundle.json names one file in it, its sha256 and maybe its size and runtime; whatever doesn't fit is an error."""
+    manifest_path = Path(folder, "bundle.json")
+    try:
+        manifest = json.loads(manifest_path.read_bytes())
+        name, digest, size, metadata = manifest["file"], manifest["sha256"], manifest.get("bytes"), manifest.get("metadata") or {}
+    except (OSError, ValueError, KeyError, TypeError, AttributeError) as problem:
+        raise BundleError(f"{manifest_path}: {problem!r}") from problem
+    if runtime is not None and manifest.get("runtime") != runtime:
+        raise BundleError(f"{manifest_path}: runtime {manifest.get('runtime')!r} is not {runtime!r}")
+    if not re.fullmatch("[0-9A-Fa-f]{64}", str(digest)):
+        raise BundleError(f"{manifest_path}: sha256 is no digest")
+    if not isinstance(name, str) or name in ("", ".", "..") or Path(name).name != name:
+        raise BundleError(f"{manifest_path}: {name!r} names no file of the directory")
+    try:
+        data = Path(folder, name).read_bytes()
+    except OSError as problem:
+        raise BundleError(str(problem)) from problem
+    if size is not None and size != len(data):
+        raise BundleError(f"{name}: {len(data)} bytes instead of {size}")
+    own, tensors = read_bundle(data, f"sha256-{digest}")
+    return Model({**own, **metadata}, tensors, ("US",) if metadata.get("detector_input_policy") == "known_us" else ())
+
+
 def weights(tensors: dict[str, np.ndarray], name: str, axis: int = 0) -> np.ndarray:
     """A tensor as floats, scaled by channel if it is int8."""
     if name not in tensors:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.hashing import fnv1a_halves, modulo
 
 
+def mixed_key(seed: int, *columns: Column) -> Column:
+    """An order that looks random: md5 of seed and columns as text."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in columns]).cast("binary"))
+
+
 def split_12(key: Column, seed: int = 0) -> Column:
     """train for ten of twelve buckets, valid and test for one each."""
     bucket = modulo(fnv1a_halves(key, seed), 12)
@@ -53,7 +59,7 @@ def uncovered(rows: DataFrame, groups: list[str], quota: int) -> DataFrame:
 
 def equal_shares(rows: DataFrame, group: str, id_col: str, total: int, seed: int = 0) -> DataFrame:
     """total rows with equal shares of groups, what small groups leave filled up in hashed order."""
-    mixed = rows.withColumn("__mix", F.xxhash64(F.lit(seed), F.col(id_col).cast("string")))
+    mixed = rows.withColumn("__mix", mixed_key(seed, F.col(id_col)))
     n = max(1, rows.select(group).distinct().count())
     ranked = first_of(mixed, [group], ["__mix", id_col], total)
     ranked = ranked.withColumn("__rank", F.row_number().over(Window.partitionBy(group).orderBy("__mix", id_col)))
@@ -68,28 +74,40 @@ def hash_sample(rows: DataFrame, group: str, id_col: str, n: int, seed: str = ""
 
 
 def capped_selection(rows: DataFrame, group: str, id_col: str, caps: dict[str, int], total: int, seed: str = "") -> DataFrame:
-    """In hashed order within each group: rows until one of their cap columns is used up, at most total. The order matters, so a group is one task's."""
+    """In hashed order within each group: rows until one of their cap columns is used up, at most total.
+
+    The order matters, so that a group is one task's, but the task reads it as a sorted
+    stream and remembers counts alone: of kept rows' values, so total of each at most.
+    """
     digest = F.sha2(F.concat_ws(":", F.lit(seed), F.col(group), F.col(id_col).cast("string")), 256)
     columns = rows.columns
-
-    def choose(frame):
-        used: dict[tuple[str, object], int] = {}
-        kept = []
-        for i, row in enumerate(frame.sort_values(["__digest", id_col]).to_dict("records")):
-            if len(kept) < total and all(used.get((c, row[c]), 0) < n for c, n in caps.items()):
-                kept.append(i)
-                for c in caps:
-                    used[c, row[c]] = used.get((c, row[c]), 0) + 1
-        return frame.sort_values(["__digest", id_col]).iloc[kept][columns]
-
-    return rows.withColumn("__digest", digest).groupBy(group).applyInPandas(choose, rows.schema)
+    at, places = columns.index(group), {columns.index(c): n for c, n in caps.items()}
+
+    def choose(batches):
+        now, kept, used = object(), 0, {}
+        for b in batches:
+            values = {i: b.column(i).to_pylist() for i in (at, *places)}
+            keep = []
+            for k in range(b.num_rows):
+                if values[at][k] != now:
+                    now, kept, used = values[at][k], 0, {}
+                own = [(i, values[i][k]) for i in places]
+                fits = kept < total and all(used.get(x, 0) < places[x[0]] for x in own)
+                keep.append(fits)
+                if fits:
+                    kept += 1
+                    used.update({x: used.get(x, 0) + 1 for x in own})
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    ordered = rows.withColumn("__digest", digest).repartition(group).sortWithinPartitions(group, "__digest", id_col).select(*columns)
+    return ordered.mapInArrow(choose, rows.schema)
 
 
 def mixed_passes(rows: DataFrame, stratum: str, id_col: str, seed: int = 0) -> DataFrame:
     """rows with a turn: strata take turns round by round, each row once, in hashed order."""
-    mixed = F.xxhash64(F.lit(seed), F.col(stratum), F.col(id_col).cast("string"))
-    ranked = rows.withColumn("__round", F.row_number().over(Window.partitionBy(stratum).orderBy(mixed, id_col)))
-    return ranked.withColumn("turn", F.struct("__round", F.xxhash64(F.lit(seed), "__round", stratum))).drop("__round")
+    order = Window.partitionBy(stratum).orderBy(mixed_key(seed, F.col(stratum), F.col(id_col)), id_col)
+    ranked = rows.withColumn("__round", F.row_number().over(order))
+    return ranked.withColumn("turn", F.struct(F.col("__round").alias("round"), mixed_key(seed, F.col("__round"), F.col(stratum)).alias("mix"))).drop("__round")
 
 
 def rotating_views(rows: DataFrame, views: DataFrame, parent: str, presentation: str, view_no: str = "view_no") -> DataFrame:

@@ -11,24 +11,8 @@ from gleaner.functions.hashing import fnv1a_sql
 from gleaner.functions.offsets import matches, utf16_offset
 from gleaner.operators import dedup, features, leakage, lines, metrics, policy, regions, rules, splits, tokens
 from gleaner.plans import api
-
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(oracle: str | None = None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
-        return f
-
-    return register
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from gleaner.plans.registry import ORACLES, QUERIES, query
+from gleaner.plans.registry import table as _table
 
 _SHOWN = ["doc_id", "kind", "start", "end", "text", "normalized"]
 
@@ -262,13 +246,36 @@ def contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return api.contact_members(api.extract_contacts(_table(spark, sf_dir, "documents"), ["doc_id"]), ["doc_id"])
 
 
-@query()
+#: Streets of made-up addresses: (name, word).
+_ROADS = (("Oak", "Street"), ("Main", "Avenue"), ("Elm", "Road"), ("Cedar", "Drive"), ("Lake", "Lane"))
+_CITIES = (("Denver", "CO"), ("Salem", "OR"), ("Austin", "TX"), ("Boston", "MA"))
+
+
+def _addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One address of the United States for each customer, by rule."""
+    pick = lambda rows, of: F.element_at(F.array(*[F.lit(of(r)) for r in rows]), (F.col("c_custkey") % len(rows)).cast("int") + 1)
+    number, code = (F.col("c_custkey") % 9000 + 1).cast("string"), F.lpad((F.col("c_custkey") * 37 % 90000 + 10000).cast("string"), 5, "0")
+    road, city, state = pick(_ROADS, " ".join), pick(_CITIES, lambda c: c[0]), pick(_CITIES, lambda c: c[1])
+    text = F.concat(number, F.lit(" "), road, F.lit(", "), city, F.lit(", "), state, F.lit(" "), code)
+    return _table(spark, sf_dir, "customer").select("c_custkey", text.alias("address"))
+
+
+_ROADS_SQL = "[" + ", ".join(f"'{' '.join(r)}'" for r in _ROADS) + "]"
+_CITIES_SQL, _STATES_SQL = ("[" + ", ".join(f"'{c[k]}'" for c in _CITIES) + "]" for k in (0, 1))
+
+
+@query(
+    f"""WITH p AS (SELECT c_custkey, CAST(c_custkey % 9000 + 1 AS VARCHAR) AS house_number, {_ROADS_SQL}[c_custkey % {len(_ROADS)} + 1] AS road, {_CITIES_SQL}[c_custkey % {len(_CITIES)} + 1] AS city,
+  {_STATES_SQL}[c_custkey % {len(_CITIES)} + 1] AS region, CAST(c_custkey * 37 % 90000 + 10000 AS VARCHAR) AS postcode FROM customer),
+o AS (SELECT *, length(house_number) + 1 AS r, length(house_number) + length(road) + 3 AS c, length(house_number) + length(road) + length(city) + 5 AS s FROM p),
+k AS (SELECT c_custkey, unnest([struct_pack(label := 'house_number', start := 0, text := house_number), struct_pack(label := 'road', start := r, text := road), struct_pack(label := 'city', start := c, text := city),
+  struct_pack(label := 'region', start := s, text := region), struct_pack(label := 'postcode', start := s + 3, text := postcode)]) AS x FROM o)
+SELECT c_custkey, x.label, CAST(x.start AS INTEGER) AS start, CAST(x.start + length(x.text) AS INTEGER) AS "end" FROM k"""
+)
 def parsed_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of the addresses of customers."""
-    rows = _table(spark, sf_dir, "customer")
-    source = [c for c in rows.columns if c.endswith("address")] or [c for c in rows.columns if c.endswith("name")]
-    parsed = api.parse_address(rows, ["c_custkey"], text_col=source[0])
-    return parsed.select("c_custkey", F.explode_outer("components").alias("c"), "confidence").select("c_custkey", "c.label", "c.start", "c.end", policy.shown(F.col("confidence")).alias("confidence"))
+    """Components of an address for each customer."""
+    parsed = api.parse_address(_addresses(spark, sf_dir), ["c_custkey"], text_col="address")
+    return parsed.select("c_custkey", F.explode_outer("components").alias("c")).select("c_custkey", "c.label", "c.start", "c.end")
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -359,17 +366,23 @@ def error_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""WITH {_SPANS_SQL},
 lp AS (SELECT kind, count(*) AS n FROM pred AS p WHERE EXISTS (SELECT 1 FROM gold AS g WHERE g.doc_id = p.doc_id AND g.kind = p.kind AND p.start < g."end" AND g.start < p."end") GROUP BY 1),
-lg AS (SELECT kind, count(*) AS n FROM gold AS g WHERE EXISTS (SELECT 1 FROM pred AS p WHERE g.doc_id = p.doc_id AND g.kind = p.kind AND p.start < g."end" AND g.start < p."end") GROUP BY 1)
-SELECT kind, (SELECT count(*) FROM gold AS g WHERE g.kind = k.kind) AS gold, (SELECT count(*) FROM pred AS p WHERE p.kind = k.kind) AS predicted,
-  coalesce((SELECT n FROM lg WHERE lg.kind = k.kind), 0) AS lenient_gold, coalesce((SELECT n FROM lp WHERE lp.kind = k.kind), 0) AS lenient_predicted FROM (SELECT DISTINCT kind FROM gold) AS k"""
+lg AS (SELECT kind, count(*) AS n FROM gold AS g WHERE EXISTS (SELECT 1 FROM pred AS p WHERE g.doc_id = p.doc_id AND g.kind = p.kind AND p.start < g."end" AND g.start < p."end") GROUP BY 1),
+r AS (SELECT kind, (SELECT count(*) FROM gold AS g WHERE g.kind = k.kind) AS gold, (SELECT count(*) FROM pred AS p WHERE p.kind = k.kind) AS predicted,
+  coalesce((SELECT n FROM lg WHERE lg.kind = k.kind), 0) AS lenient_gold, coalesce((SELECT n FROM lp WHERE lp.kind = k.kind), 0) AS lenient_predicted FROM (SELECT DISTINCT kind FROM gold) AS k),
+s AS (SELECT *, {_RATIO.format("lenient_predicted", "predicted")} AS precision, {_RATIO.format("lenient_gold", "gold")} AS recall FROM r)
+SELECT *, {_RATIO.format("2 * precision * recall", "(precision + recall)")} AS f1 FROM s"""
 )
 def lenient_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps of the same kind, counted on either side."""
     gold, predicted = _spans(spark, sf_dir)
-    return metrics.lenient_score(gold, predicted, "doc_id").select("kind", "gold", "predicted", "lenient_gold", "lenient_predicted")
+    return metrics.lenient_score(gold, predicted, "doc_id")
 
 
-@query()
+@query(
+    # A prediction is within the span that it was made of and gold spans are apart: the largest matching has each gold span that any prediction of its kind overlaps.
+    f"""WITH {_SPANS_SQL} SELECT kind, count(*) AS matched FROM gold AS g
+WHERE EXISTS (SELECT 1 FROM pred AS p WHERE p.doc_id = g.doc_id AND p.kind = g.kind AND p.start < g."end" AND g.start < p."end") GROUP BY kind"""
+)
 def one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One-to-one matchings of overlapping spans, by kind."""
     gold, predicted = _spans(spark, sf_dir)
@@ -418,14 +431,13 @@ def latency_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT coalesce(lang, 'O') AS label, count(*) AS n FROM documents GROUP BY 1), b AS (SELECT max(n) AS base FROM c)
+    """WITH c AS (SELECT CASE WHEN doc_id % 3 = 0 THEN coalesce(lang, 'O') ELSE 'O' END AS label, count(*) AS n FROM documents GROUP BY 1), b AS (SELECT n AS base FROM c WHERE label = 'O')
 SELECT label, round(least(5.0, sqrt(base / CAST(n AS DOUBLE))), 8) AS weight FROM c, b"""
 )
 def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights of languages by how much rarer than the commonest they are."""
-    counts = _table(spark, sf_dir, "documents").groupBy(F.coalesce("lang", F.lit("O")).alias("label")).agg(F.count("*").alias("n"))
-    base = counts.agg(F.max("n").alias("base"))
-    return counts.crossJoin(F.broadcast(base)).select("label", F.round(F.least(F.lit(5.0), F.sqrt(F.col("base") / F.col("n"))), 8).alias("weight"))
+    """Weights of languages by how much rarer than documents of no language they are."""
+    counts = _table(spark, sf_dir, "documents").groupBy(F.when(F.col("doc_id") % 3 == 0, F.coalesce("lang", F.lit("O"))).otherwise("O").alias("label")).agg(F.count("*").alias("n"))
+    return metrics.class_weights(counts, "label", "n").withColumn("weight", F.round("weight", 8))
 
 
 @query(
@@ -510,3 +522,6 @@ def opening_surfaces(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = rows.groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("t"))
     keyed = first.select("conv_id", leakage.surface_key(F.lit("org"), F.col("t.text")).alias("key"))
     return keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("conv_id").alias("first"))
+
+
+from gleaner.plans import relational  # noqa: E402, F401  registers the queries of relational operators

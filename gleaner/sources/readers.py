@@ -11,7 +11,7 @@ SPANS = "array<struct<kind:string,start:int,end:int,text:string>>"
 GOLD = f"name string, input string, expected {SPANS}, country string, doc_type string, source_host string"
 SILVER = "id string, text string, country string, entities array<struct<kind:string,start:int,end:int>>, source string, source_url string"
 REQUEST = "operation string, text string, kinds array<string>, country_hint array<string>, include_uncertain boolean, format string, offsets string"
-OPERATIONS = ("detect", "extract_contacts", "parse_address")
+OPERATIONS, FORMATS, OFFSETS = ("detect", "contacts", "address"), ("text", "markdown"), ("utf8", "utf16")
 REQUEST_FIELDS = ("operation", "text", "kinds", "country_hint", "include_uncertain", "format", "offsets")
 
 
@@ -39,14 +39,18 @@ def tagged_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, path: str) -> DataFrame:
-    """JSON requests, one a line. Unknown fields, operations and kinds are errors."""
+    """JSON requests, one a line. Unknown fields and values are errors, and so is an address request without that kind."""
     raw = spark.read.text(path)
     known = F.array(*map(F.lit, REQUEST_FIELDS))
     _refuse(raw, F.size(F.array_except(F.coalesce(F.json_object_keys("value"), F.array()), known)) > 0, "unknown fields")
     parsed = raw.select(F.from_json("value", REQUEST, {"mode": "FAILFAST"}).alias("r")).select("r.*")
     _refuse(parsed, ~F.coalesce(F.col("operation").isin(list(OPERATIONS)), F.lit(False)), "unknown operation")
     _refuse(parsed, F.exists(F.coalesce("kinds", F.array().cast("array<string>")), lambda k: ~k.isin(list(KINDS))) | (F.size("kinds") == 0), "kinds")
-    _refuse(parsed, F.exists(F.coalesce("country_hint", F.array().cast("array<string>")), lambda h: ~h.rlike("^[A-Za-z]{2}$")), "country_hint")
+    _refuse(parsed, (F.col("operation") == "address") & ~F.coalesce(F.array_contains("kinds", "address"), F.lit(True)), "operation address needs kind address")
+    for column, values in (("format", FORMATS), ("offsets", OFFSETS)):
+        _refuse(parsed, ~F.coalesce(F.col(column).isin(list(values)), F.lit(True)), column)
+    _refuse(parsed, F.col("text").isNull(), "no text")
+    _refuse(parsed, F.exists(F.coalesce("country_hint", F.array().cast("array<string>")), lambda h: ~F.trim(h).rlike("^[A-Za-z]{2}$")), "country_hint")
     return parsed
 
 
@@ -73,11 +77,12 @@ def gold(spark: SparkSession, path: str) -> DataFrame:
 
 
 def silver(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled documents, equal texts once; equal texts with other labels are an error."""
+    """Labelled documents, equal texts once, the one of least id and source; equal texts with other labels are an error."""
     rows = spark.read.schema(SILVER).option("mode", "FAILFAST").json(path)
     labels = F.to_json(F.array_sort("entities"))
     _refuse(rows.groupBy(F.sha2("text", 256).alias("digest")).agg(F.countDistinct(labels).alias("n")), F.col("n") > 1, "a text with two labellings")
-    return rows.dropDuplicates(["text"])
+    one = rows.groupBy("text").agg(F.min(F.struct("id", "source", "source_url", "country", "entities")).alias("r"))
+    return one.select(*[F.col("text") if c == "text" else F.col(f"r.{c}") for c in rows.columns])
 
 
 def address_shard(spark: SparkSession, path: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.offsets import utf16_offset
 from gleaner.operators.policy import shown
 from gleaner.schema import ADDRESS_LABELS
+from gleaner.tables import written
 
 
 def rendered(entity: Column, text: Column | None = None, utf16: bool = False) -> Column:
@@ -28,17 +29,22 @@ def detection_json(found: DataFrame, keys: list[str], text_col: str | None = Non
     return found.select(*keys, F.to_json(F.struct(F.lit(model).alias("model"), F.lit("detect").alias("operation"), entities.alias("entities"))).alias("json"))
 
 
-def extraction_json(found: DataFrame, keys: list[str], text_col: str | None = None, utf16: bool = False, model: str = "baseline") -> DataFrame:
-    """(keys, json) of (keys, contacts, unassigned): people and organizations are absent rather than null, lists always there."""
-    text = F.col(text_col) if text_col else None
+def rendered_contact(text: Column | None = None, utf16: bool = False):
+    """A function of a contact to what responses have: people and organizations are absent rather than null, lists always there."""
     at = (lambda c: utf16_offset(text, c)) if utf16 else (lambda c: c)
     many = lambda c: F.transform(c, lambda e: rendered(e, text, utf16))
     one = lambda c: F.when(c.isNotNull(), rendered(c, text, utf16))
-    contact = lambda c: F.struct(
+    return lambda c: F.struct(
         at(c["start"]).alias("start"), at(c["end"]).alias("end"), shown(c["confidence"]).alias("confidence"), c["review_recommended"].alias("review_recommended"),
         one(c["person"]).alias("person"), one(c["org"]).alias("org"), many(c["addresses"]).alias("addresses"), many(c["emails"]).alias("emails"), many(c["phones"]).alias("phones"),
     )
-    body = F.struct(F.lit(model).alias("model"), F.lit("extract_contacts").alias("operation"), F.transform("contacts", contact).alias("contacts"), many(F.col("unassigned")).alias("unassigned"))
+
+
+def extraction_json(found: DataFrame, keys: list[str], text_col: str | None = None, utf16: bool = False, model: str = "baseline") -> DataFrame:
+    """(keys, json) of (keys, contacts, unassigned)."""
+    text = F.col(text_col) if text_col else None
+    unassigned = F.transform("unassigned", lambda e: rendered(e, text, utf16))
+    body = F.struct(F.lit(model).alias("model"), F.lit("extract_contacts").alias("operation"), F.transform("contacts", rendered_contact(text, utf16)).alias("contacts"), unassigned.alias("unassigned"))
     return found.select(*keys, F.to_json(body).alias("json"))
 
 
@@ -50,5 +56,5 @@ def address_shards(rows: DataFrame, path: str) -> None:
 
 
 def report(rows: DataFrame, path: str) -> None:
-    """Aggregates as JSON lines, in one file: for results whose number of rows has a bound of its own."""
-    rows.coalesce(1).write.mode("error").json(path)
+    """Aggregates as JSON lines, in one file: for results whose number of rows has a bound of its own. Only writing that file is one task's."""
+    written(rows, "report").coalesce(1).write.mode("error").json(path)
