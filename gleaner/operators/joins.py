@@ -35,11 +35,15 @@ def nearest(rows: DataFrame, marks: DataFrame, keys: list[str], at: str, mark_at
 
 def wildcard_keys(prefixes: DataFrame, prefix: str, wildcard: str = "x", most: int = 4) -> DataFrame:
     """prefixes with __key: each wildcard stands for any digit, and each prefix becomes all the keys that it means; at most 10 ** most of them."""
+
+    def longer(keys: Column, k: int) -> Column:
+        sign = F.substring(F.col(prefix), k, 1)
+        digits = F.when(sign == wildcard, F.array(*[F.lit(str(d)) for d in range(10)])).otherwise(F.array(sign))  # behind the end an empty one
+        return F.flatten(F.transform(keys, lambda left: F.transform(digits, lambda right: F.concat(left, right))))
+
     keys: Column = F.array(F.lit(""))
     for k in range(1, most + 1):
-        sign = F.substring(F.col(prefix), k, 1)
-        digits = F.when(sign == wildcard, F.array(*[F.lit(str(d)) for d in range(10)])).when(sign == "", F.array(F.lit(""))).otherwise(F.array(sign))
-        keys = F.flatten(F.transform(keys, lambda left, d=digits: F.transform(d, lambda right: F.concat(left, right))))
+        keys = longer(keys, k)
     return prefixes.where((F.length(prefix) >= 1) & (F.length(prefix) <= most)).withColumn("__key", F.explode(keys))
 
 

@@ -274,7 +274,7 @@ SELECT c_custkey, x.label, CAST(x.start AS INTEGER) AS start, CAST(x.start + len
 )
 def parsed_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of an address for each customer."""
-    parsed = api.parse_address(_addresses(spark, sf_dir), ["c_custkey"], text_col="address")
+    parsed = api.parse_address(_addresses(spark, sf_dir), ["c_custkey"], text_col="address", country=F.lit("US"))
     return parsed.select("c_custkey", F.explode_outer("components").alias("c")).select("c_custkey", "c.label", "c.start", "c.end")
 
 
