@@ -9,7 +9,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.arrow import rows_of_texts
+from gleaner.arrow import explode_structs, per_text, rows_of_texts
 from gleaner.functions.offsets import byte_offsets
 from gleaner.functions.unicode import SCRIPTS, classify
 
@@ -95,6 +95,24 @@ def tokens(docs: DataFrame, keys: list[str], text_col: str = "text") -> DataFram
     return rows_of_texts(docs, [F.col(text_col)], of, "start int, end int, class string, script string", keys, "pos")
 
 
+COUNTS = "array<struct<class:string,script:string,n:bigint,bytes:bigint>>"
+
+
+def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(class, script, n, bytes): tokens of all texts, counted text by text where they are made; null and empty texts have none."""
+
+    def of(text: str | None) -> list[dict]:
+        found: dict[tuple[str, str], list[int]] = {}
+        for t in tokenize(text or ""):
+            own = found.setdefault((t.kind, t.script), [0, 0])
+            own[0] += 1
+            own[1] += t.end - t.start
+        return [{"class": k, "script": s, "n": n, "bytes": b} for (k, s), (n, b) in found.items()]
+
+    rows = explode_structs(per_text(docs, [F.col(text_col)], of, COUNTS, "found", []), "found", [])
+    return rows.groupBy("class", "script").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+
+
 def dominant_script(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, script): of most letter tokens, Han and kana counting as japanese; ties to the smaller name."""
     name = F.when(F.col("script").isin("han", "hiragana", "katakana"), "japanese").otherwise(F.col("script"))

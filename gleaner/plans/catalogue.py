@@ -13,6 +13,7 @@ from gleaner.operators import dedup, features, leakage, lines, metrics, policy,
 from gleaner.plans import api
 from gleaner.plans.registry import ORACLES, QUERIES, query
 from gleaner.plans.registry import table as _table
+from gleaner.tables import written
 
 _SHOWN = ["doc_id", "kind", "start", "end", "text", "normalized"]
 
@@ -192,18 +193,19 @@ def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CLOSINGS_SQL = ", ".join(f"'{c}'" for c in lines.CLOSINGS)
 _TRIM = r"'^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g'"
+_KIND_SQL = rf"""CASE WHEN t = '' THEN 'blank' WHEN regexp_matches(t, '{lines.SEPARATOR_LINE}') THEN 'separator'
+  WHEN starts_with(t, '>') AND regexp_replace(t[2:], {_TRIM}) = '' THEN 'quoted_blank' WHEN starts_with(t, '>') THEN 'quoted'
+  WHEN regexp_matches(t, '{lines.CHAT_LINE}') THEN 'chat_turn'
+  WHEN length(t) - length(replace(t, '|', '')) >= 2 OR length(line) - length(replace(line, chr(9), '')) >= 2 THEN 'table_row'
+  WHEN regexp_matches(t, '{lines.HEADER_LINE}') THEN 'header'
+  WHEN lower(regexp_replace(regexp_replace(t, '[,.!]+$', ''), {_TRIM})) IN ({_CLOSINGS_SQL}) THEN 'closing' ELSE 'text' END"""
 
 
 @query(
     rf"""WITH r AS (SELECT conv_id, turn, string_split_regex(text, '\r\n|[\n\r\x{{85}}\x{{2028}}\x{{2029}}]') AS parts FROM conversations),
 l AS (SELECT conv_id, turn, CAST(i - 1 AS INTEGER) AS line_no, parts[i] AS line, regexp_replace(parts[i], {_TRIM}) AS t
   FROM r, unnest(range(1, len(parts) + 1 - CASE WHEN parts[len(parts)] = '' THEN 1 ELSE 0 END)) AS x(i)),
-k AS (SELECT *, CASE WHEN t = '' THEN 'blank' WHEN regexp_matches(t, '{lines.SEPARATOR_LINE}') THEN 'separator'
-  WHEN starts_with(t, '>') AND regexp_replace(t[2:], {_TRIM}) = '' THEN 'quoted_blank' WHEN starts_with(t, '>') THEN 'quoted'
-  WHEN regexp_matches(t, '{lines.CHAT_LINE}') THEN 'chat_turn'
-  WHEN length(t) - length(replace(t, '|', '')) >= 2 OR length(line) - length(replace(line, chr(9), '')) >= 2 THEN 'table_row'
-  WHEN regexp_matches(t, '{lines.HEADER_LINE}') THEN 'header'
-  WHEN lower(regexp_replace(regexp_replace(t, '[,.!]+$', ''), {_TRIM})) IN ({_CLOSINGS_SQL}) THEN 'closing' ELSE 'text' END AS kind FROM l)
+k AS (SELECT *, {_KIND_SQL} AS kind FROM l)
 SELECT conv_id, turn, line_no, length(line) AS n_chars, kind FROM k"""
 )
 def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +214,24 @@ def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("conv_id", "turn", "line_no", F.length("line").cast("long").alias("n_chars"), "kind")
 
 
-@query()
+_BREAK_SQL = r"'\r\n|[\n\r\x{85}\x{2028}\x{2029}]'"
+
+
+@query(
+    # Whether a line goes on in the block before it is told by the line before it.
+    rf"""WITH r AS (SELECT doc_id, string_split_regex(text, {_BREAK_SQL}) AS parts, regexp_extract_all(text, {_BREAK_SQL}) AS seps FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, i, parts[i] AS line, coalesce(list_sum(list_transform(parts[1:i - 1], lambda x: strlen(x))), 0) + coalesce(list_sum(list_transform(seps[1:i - 1], lambda x: strlen(x))), 0) AS start,
+  regexp_replace(parts[i], {_TRIM}) AS t FROM r, unnest(range(1, len(parts) + 1 - CASE WHEN parts[len(parts)] = '' THEN 1 ELSE 0 END)) AS x(i)),
+k AS (SELECT *, {_KIND_SQL} AS kind FROM l),
+p AS (SELECT *, lag(kind) OVER w AS before, sum(CASE WHEN kind IN ('blank', 'quoted_blank') THEN 1 ELSE 0 END) OVER (w ROWS UNBOUNDED PRECEDING) AS blanks FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT *, CASE WHEN kind = 'header' THEN before IS DISTINCT FROM 'header' WHEN kind = 'quoted' THEN before IS DISTINCT FROM 'quoted' WHEN kind IN ('text', 'closing') THEN coalesce(before, '') NOT IN ('text', 'closing', 'chat_turn') ELSE TRUE END AS opens,
+  blanks - coalesce(lag(blanks) OVER (PARTITION BY doc_id ORDER BY i), 0) AS gap FROM p WHERE kind NOT IN ('blank', 'quoted_blank')),
+b AS (SELECT *, CAST(sum(CAST(opens AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS INTEGER) - 1 AS block_no FROM n),
+g AS (SELECT doc_id, block_no, arg_min(kind, i) AS first, min(start) AS start, max(start + strlen(line)) AS "end", count(*) AS n_lines, arg_min(gap, i) AS gap_lines,
+  count(*) FILTER (kind IN ('text', 'quoted', 'chat_turn', 'header')) >= {lines.SIGNATURE_LINES} AND coalesce(bool_and(length(t) <= {lines.SHORT_CHARS}) FILTER (kind IN ('text', 'quoted', 'chat_turn', 'header')), TRUE) AS short FROM b GROUP BY 1, 2)
+SELECT doc_id, block_no, CASE WHEN first IN ('text', 'closing') THEN CASE WHEN short THEN 'signature' ELSE 'paragraph' END WHEN first = 'quoted' THEN 'quoted_reply' ELSE first END AS kind,
+  CAST(start AS INTEGER) AS start, CAST("end" AS INTEGER) AS "end", CAST(n_lines AS INTEGER) AS n_lines, short AS short_lines, CAST(gap_lines AS INTEGER) AS gap_lines FROM g"""
+)
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of lines of all documents."""
     return lines.blocks(_table(spark, sf_dir, "documents"), ["doc_id"])
@@ -221,14 +240,14 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of all documents by class and script."""
-    return tokens.tokens(_table(spark, sf_dir, "documents"), ["doc_id"]).groupBy("class", "script").agg(F.count("*").alias("n"), F.sum(F.col("end") - F.col("start")).alias("bytes"))
+    return tokens.counts(_table(spark, sf_dir, "documents"))
 
 
 @query("SELECT CAST(sum(octet_length(encode(text))) AS BIGINT) AS bytes, count(*) AS docs FROM documents WHERE text IS NOT NULL")
 def token_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes that tokens cover: all of them."""
     docs = _table(spark, sf_dir, "documents").where("text is not null")
-    covered = tokens.tokens(docs, ["doc_id"]).agg(F.sum(F.col("end") - F.col("start")).alias("bytes"))
+    covered = tokens.counts(docs).agg(F.sum("bytes").alias("bytes"))
     return covered.crossJoin(docs.agg(F.count("*").alias("docs")))
 
 
@@ -318,7 +337,7 @@ _NAME = "[A-Z][a-z]+"
 
 
 def _spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    found = _offsets(_table(spark, sf_dir, "documents"), _NAME)
+    found = written(_offsets(_table(spark, sf_dir, "documents"), _NAME), "names")
     gold = found.select("doc_id", F.when(F.length("text") > 6, "org").otherwise("person").alias("kind"), "start", "end")
     mark = F.pmod(F.col("start") * 7 + F.col("doc_id"), F.lit(10))
     kind = F.when(mark == 1, F.when(F.col("kind") == "org", "person").otherwise("org")).otherwise(F.col("kind"))
@@ -378,6 +397,46 @@ def lenient_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.lenient_score(gold, predicted, "doc_id")
 
 
+@query(
+    f"""WITH {_SPANS_SQL}, c AS (SELECT kind, count(*) AS predicted, sum(matched) AS tp, (SELECT count(*) FROM gold AS g WHERE g.kind = h.kind) AS gold FROM hits AS h GROUP BY kind)
+SELECT sum({_RATIO.format("2 * tp", "(predicted + gold)")}) / 3 AS macro_f1 FROM c WHERE kind IN ('person', 'org', 'address')"""
+)
+def macro_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean F1 of exact spans over kinds, one of which neither side has."""
+    gold, predicted = _spans(spark, sf_dir)
+    return metrics.macro_f1(gold, predicted, ["doc_id", "kind", "start", "end"])
+
+
+@query(
+    f"""WITH {_SPANS_SQL},
+r AS (SELECT doc_id % 3 AS country, kind AS label, 0 AS gold, 1 AS predicted, matched AS tp FROM hits UNION ALL SELECT doc_id % 3, kind, 1, 0, 0 FROM gold),
+c AS (SELECT country, label, CAST(sum(gold) AS BIGINT) AS gold, CAST(sum(predicted) AS BIGINT) AS predicted, CAST(sum(tp) AS BIGINT) AS tp FROM r GROUP BY GROUPING SETS ((label), (country), ()))
+SELECT *, {_prf_sql("tp", "predicted", "gold")} FROM c"""
+)
+def component_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact scores by label, by a stand-in for country and over all."""
+    sides = (rows.withColumnRenamed("kind", "label").withColumn("country", F.col("doc_id") % 3) for rows in _spans(spark, sf_dir))
+    return metrics.component_scores(*sides, "doc_id")
+
+
+@query(
+    f"""WITH {_SPANS_SQL},
+back AS (SELECT g.doc_id, g.kind, g.start, g."end", CASE WHEN p.m IS NULL THEN 0 ELSE 1 END AS matched FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, start, "end") AS k FROM gold) AS g
+  LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY doc_id, kind, start, "end") AS m FROM pred) AS p ON g.doc_id = p.doc_id AND g.kind = p.kind AND g.start = p.start AND g."end" = p."end" AND p.m = g.k),
+both_ways AS (SELECT 'predicted' AS side, * FROM hits UNION ALL SELECT 'gold', * FROM back),
+others AS (SELECT 'predicted' AS side, doc_id, kind, start, "end" FROM gold UNION ALL SELECT 'gold', doc_id, kind, start, "end" FROM pred),
+c AS (SELECT h.side, h.kind, CASE WHEN matched = 1 THEN 'exact'
+  WHEN EXISTS (SELECT 1 FROM others AS g WHERE g.side = h.side AND g.doc_id = h.doc_id AND g.kind = h.kind AND g.start = h.start AND g."end" = h."end") THEN 'duplicate'
+  WHEN EXISTS (SELECT 1 FROM others AS g WHERE g.side = h.side AND g.doc_id = h.doc_id AND g.kind = h.kind AND h.start < g."end" AND g.start < h."end") THEN 'boundary'
+  WHEN EXISTS (SELECT 1 FROM others AS g WHERE g.side = h.side AND g.doc_id = h.doc_id AND h.start < g."end" AND g.start < h."end") THEN 'wrong_kind' ELSE 'no_overlap' END AS error FROM both_ways AS h)
+SELECT side, kind, error, count(*) AS n FROM c GROUP BY ALL"""
+)
+def errors_both_ways(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with predictions and what became of gold spans, by kind."""
+    gold, predicted = _spans(spark, sf_dir)
+    return metrics.errors_both_ways(gold, predicted, "doc_id").groupBy("side", "kind", "error").agg(F.count("*").alias("n"))
+
+
 @query(
     # A prediction is within the span that it was made of and gold spans are apart: the largest matching has each gold span that any prediction of its kind overlaps.
     f"""WITH {_SPANS_SQL} SELECT kind, count(*) AS matched FROM gold AS g

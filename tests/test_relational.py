@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import hashing, html, offsets, text, urls
-from gleaner.operators import augment, corpus, dedup, leakage, metrics, policy, rules, splits
-from gleaner.plans import api
+from gleaner.operators import augment, corpus, dedup, joins, leakage, metrics, neural, policy, rules, splits
+from gleaner.plans import api, requests
 from gleaner.sources import readers, writers
 from gleaner.streaming import detect as streams
 
@@ -314,3 +314,107 @@ def test_stream_gives_the_rows_of_a_table(spark, tmp_path):
     streams.write_entities(streams.entities(stream, ["doc_id"]), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     columns = ["doc_id", "kind", "start", "end"]
     assert values(spark.read.parquet(str(tmp_path / "out")).select(*columns)) == values(api.detect(docs, ["doc_id"]).select(*columns))
+
+
+def test_near_within_is_greedy_by_brute_force(spark):
+    import random
+
+    rnd, docs = random.Random(4), []
+    for _ in range(8):
+        now = [f"w{rnd.randrange(400)}" for _ in range(50)]
+        for _ in range(6):  # a chain: each is near to the next, the ends aren't
+            now = [w if rnd.random() > 0.012 else f"x{rnd.randrange(400)}" for w in now]
+            docs.append((len(docs), " ".join(now), rnd.choice("ab")))
+    sets = {i: ({tuple(w[k : k + 7]) for k in range(len(w) - 6)}, g) for i, t, g in docs for w in [t.split()]}
+    kept, want = [], {}
+    for i, (own, g) in sets.items():
+        prior = next((k for k in kept if sets[k][1] == g and len(own & sets[k][0]) >= 0.8 * min(len(own), len(sets[k][0])) - 1e-9), None)
+        if prior is None:
+            kept.append(i)
+        else:
+            want[i] = prior
+    rows = spark.createDataFrame(docs, "id long, t string, g string")
+    found = dedup.near_within(rows, "id", text.words(F.col("t")), F.col("g"))
+    assert want and {r["id"]: r["prior"] for r in found.collect()} == want
+    assert dedup.near_within(rows.limit(0), "id", text.words(F.col("t")), F.col("g")).count() == 0
+
+
+def test_overlaps_by_a_sweep_equal_all_pairs():
+    import random
+
+    rnd = random.Random(9)
+    for _ in range(80):
+        a, b = ([[s, s + rnd.randrange(0, 9)] for s in (rnd.randrange(20) for _ in range(rnd.randrange(9)))] for _ in "ab")
+        for iou in (0.0, 0.5):
+            want = [(i, j) for i, (s, e) in enumerate(a) for j, (x, y) in enumerate(b) if min(e, y) > max(s, x) and min(e, y) - max(s, x) >= iou * (max(e, y) - min(s, x))]
+            assert metrics.overlapping(a, b, iou) == want
+
+
+def test_ordered_and_prefix_joins_at_edges(spark):
+    rows = spark.createDataFrame([(1, 10), (1, None), (2, 5), (None, 7), (1, 3)], "k int, at int")
+    marks = spark.createDataFrame([(1, 10, 5), (1, 10, 7), (1, 4, 1), (None, 6, 9), (2, None, 3)], "k int, m int, v int")
+    assert values(joins.as_of(rows, marks, ["k"], "at", "m", "v")) == sorted([(1, 10, 7), (1, None, None), (2, 5, None), (None, 7, 9), (1, 3, None)], key=str)
+    assert values(joins.nearest(rows, marks, ["k"], "at", "m", 2).select("k", "at", "mark")) == sorted([(1, 10, 10), (1, None, None), (2, 5, None), (None, 7, 6), (1, 3, 4)], key=str)
+    numbers = spark.createDataFrame([("4512",), ("45",), ("",), (None,), ("7",), ("45",)], "n string")
+    plan = spark.createDataFrame([("4x1", "a"), ("4", "b"), ("45", "c"), ("4x", "d"), ("", "e")], "prefix string, region string")
+    assert values(joins.prefix_join(numbers, plan, "n", "prefix")) == sorted([("4512", "4x1", "a"), ("45", "45", "c"), ("45", "45", "c")], key=str)
+
+
+def test_parse_scores_count_characters_and_multisets(spark):
+    span = "array<struct<label:string,start:int,end:int>>"
+    rows = [("US", "5 Öl St", [("house_number", 0, 1), ("road", 2, 8)], [("road", 2, 8), ("house_number", 0, 1)]), ("US", "ab", [("road", 0, 2)], [("road", 0, 1)]), ("DE", None, None, None), ("DE", "x", [("road", 0, 1)] * 2, [("road", 0, 1)])]
+    found = {r["country"]: (r["rows"], r["exact"], r["characters"], r["correct"]) for r in metrics.parse_scores(spark.createDataFrame(rows, f"country string, text string, gold {span}, predicted {span}")).collect()}
+    assert found == {"US": (2, 1, 7, 6), "DE": (2, 1, 1, 1), None: (4, 2, 8, 7)}
+
+
+def test_answers_to_requests(spark, tmp_path):
+    asked = [
+        {"operation": "detect", "text": "é a@b.com", "offsets": "utf16"}, {"operation": "detect", "text": "é a@b.com", "kinds": ["email"]}, {"operation": "contacts", "text": TEXT},
+        {"operation": "address", "text": "14 Oak Street, Denver, CO 80202"}, {"operation": "address", "text": ""}, {"operation": "address", "text": "x " * 5000}, {"operation": "detect", "text": "`a@b.com`", "format": "markdown"},
+        {"operation": "detect", "text": "call (202) 555-0143 now", "country_hint": ["us"]},
+    ]
+    path = tmp_path / "requests"
+    path.write_text("\n".join(json.dumps(r) for r in asked))
+    rows = readers.requests(spark, str(path)).coalesce(1).withColumn("id", F.monotonically_increasing_id())
+    got = [(json.loads(r["json"]) if r["json"] else None, r["error"]) for r in requests.answers(rows, ["id"]).orderBy("id").collect()]
+    assert [e["start"] for e in got[0][0]["entities"]] == [2] and [e["start"] for e in got[1][0]["entities"]] == [3]
+    assert set(got[2][0]) == {"model", "operation", "contacts", "unassigned"} and len(got[2][0]["contacts"]) == 1
+    assert {c["label"] for c in got[3][0]["address"]["components"]} >= {"road", "city"} and got[3][0]["address"]["start"] == 0
+    assert got[4][0]["address"]["components"] == [] and got[5] == (None, "too long for an address")
+    assert got[6][0]["entities"] == [] and got[7][0]["entities"][0]["normalized"] == "+12025550143"
+    for bad in ({"operation": "address", "text": "x", "kinds": ["email"]}, {"operation": "detect", "text": "x", "format": "pdf"}, {"operation": "detect", "text": "x", "offsets": "bytes"}, {"operation": "detect"}):
+        path.write_text(json.dumps(bad))
+        with pytest.raises(readers.ContractError):
+            readers.requests(spark, str(path))
+
+
+def test_same_places_and_reports(spark, tmp_path):
+    span = "array<struct<label:string,start:int,end:int>>"
+    city, house = [("city", 0, 4)], [("house_number", 5, 6)]
+    rows = [(1, "JP", "Noda", city), (2, "JP", "Noda", city), (3, "JP", "Noda 5", city + house), (4, "JP", "Noda 5", city + house), (5, "DE", "Noda", city), (6, "JP", "Noda (station)", city)]
+    made = spark.createDataFrame(rows, f"n long, country string, text string, spans {span}")
+    assert sorted(r["n"] for r in dedup.same_place(made, ["n"]).collect()) == [1, 3, 4, 5]
+    writers.report(made.select("n"), str(tmp_path / "report"))
+    assert spark.read.json(str(tmp_path / "report")).count() == 6 and len(list((tmp_path / "report").glob("part-*"))) == 1
+
+
+def test_model_directories(tmp_path):
+    import hashlib
+
+    import numpy as np
+
+    header = json.dumps({"__metadata__": {"net": "x"}, "t": {"dtype": "F32", "shape": [2], "data_offsets": [0, 8]}}).encode()
+    data = len(header).to_bytes(8, "little") + header + np.array([1, 2], "<f4").tobytes()
+    (tmp_path / "w.safetensors").write_bytes(data)
+    good = {"runtime": "r", "file": "w.safetensors", "sha256": hashlib.sha256(data).hexdigest(), "bytes": len(data), "metadata": {"detector_input_policy": "known_us"}}
+
+    def read(**changed):
+        (tmp_path / "bundle.json").write_text(json.dumps(good | changed))
+        return neural.read_model(str(tmp_path), "r")
+
+    model = read()
+    assert model.country_hint == ("US",) and model.tensors["t"].tolist() == [1, 2] and model.metadata["net"] == "x"
+    assert read(metadata={}).country_hint == () and read(bytes=None)
+    for bad in ({"runtime": "q"}, {"sha256": "12"}, {"sha256": "0" * 64}, {"file": "../w.safetensors"}, {"file": ".."}, {"file": "none"}, {"bytes": 3}):
+        with pytest.raises(neural.BundleError):
+            read(**bad)
