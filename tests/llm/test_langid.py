@@ -42,6 +42,45 @@ def test_keep_leaves_columns_and_drops_what_has_no_language(docs):
     assert {r["doc_id"] for r in kept.collect()} == set(range(160))
 
 
+def test_predictions_equal_a_model_by_hand(docs):
+    """The whole operator against plain Python: folds, counts of n-grams, document frequencies, sample, temperature."""
+    rows = corpus(120) + [(700, None, "en"), (701, "…", "fr"), (702, "green maison", None)]
+    found = {r["doc_id"]: r for r in langid.identify(docs(rows)).collect()}
+    taught = sorted((lang, i, text) for i, text, lang, *_ in rows if lang and zlib.crc32(str(i).encode()) % 4 != 2)
+
+    def grams(text):
+        stream = " " + "".join(c if c.isalpha() else " " for c in (text or "").lower())
+        stream, out = " ".join(stream.split()), {}
+        if not stream:
+            return out
+        stream = f" {stream} "
+        for n in range(4):
+            for k in range(len(stream) - n):
+                h = 0
+                for m, c in enumerate(stream[k : k + n + 1]):
+                    h = (h * 0x9E3779B1 + ord(c) + m) % 2**32 if m else ord(c)
+                bucket = (h * 0x85EBCA6B) % 2**32 >> 16
+                out[bucket] = out.get(bucket, 0) + 1
+        return out
+
+    counted = [(lang, grams(text)) for lang, _, text in taught if grams(text)]
+    df = {}
+    for _, own in counted:
+        for b in own:
+            df[b] = df.get(b, 0) + 1
+    idf = np.array([np.log((1 + len(counted)) / (1 + df.get(b, 0))) + 1 for b in range(langid.BUCKETS)])
+    model = langid.Model(["en", "fr"], idf, np.zeros((langid.BUCKETS + 1, 2)))
+    arrays = lambda own: (np.array(sorted(own)), np.array([own[b] for b in sorted(own)], float))
+    rows_of = [(*model.features(*arrays(own)), ["en", "fr"].index(lang)) for lang, own in counted]
+    model.weights = langid.ftrl([r for k, r in enumerate(rows_of) if k % 5 != 4], 2)
+    model.temperature = langid.best_temperature([x @ model.weights[i] for k, (i, x, _) in enumerate(rows_of) if k % 5 == 4], [y for k, (*_, y) in enumerate(rows_of) if k % 5 == 4])
+    for i, text, *_ in rows:
+        own = grams(text)
+        p = langid.softmax(model.logits(*arrays(own)) / model.temperature) if own else None
+        assert found[i]["lang_pred"] == ("und" if p is None else model.labels[int(p.argmax())])
+        assert found[i]["score"] == pytest.approx(0.0 if p is None else p.max(), abs=1e-4)
+
+
 @pytest.mark.parametrize("text", ["ab " * 50, "  Ünïcode\nwörds, 12 and ΟΔΥΣΣΕΥΣ", "a", "a b", "", "...", "x" * 40 + "!" * 40 + "y", "ab.", None])
 @pytest.mark.parametrize("part", [1, 2, 3, 7, 64])
 def test_long_texts_are_read_whole_whatever_the_parts(monkeypatch, text, part):
