@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.arrow import per_text
 from gleaner.functions import text as texts
 from gleaner.functions.hashing import fnv1a
+from gleaner.tables import written
 
 from . import leakage
 from .augment import Draw
@@ -154,6 +155,39 @@ def usable(made: DataFrame, id_col: str, n: int, excluded_texts: DataFrame | Non
     return ranked.withColumn("__place", place).where("__place <= __quota").drop("__place", "__quota")
 
 
+class Short(RuntimeError):
+    """Not enough documents could be made."""
+
+
+def drawn(spark: SparkSession, n: int, templates: list[tuple[str, str | None]], pools: dict[str, list[str]], seed: int = 0, rounds: int = 10, **excluded) -> DataFrame:
+    """As many documents as categories' weights make of n: what usable() drops is drawn again, in rounds with new ids, and it is an error if that isn't enough.
+
+    Each round makes twice what is missing at first, and then ever more; earlier documents
+    stay, as ids are in order of rounds.
+    """
+    weights = excluded.get("weights") or CATEGORIES
+    wanted = sum(n * w // sum(weights.values()) for w in weights.values())
+    size = 2 * n
+    for _ in range(rounds):
+        kept = written(usable(documents(spark.range(size), templates, pools, seed), "id", n, **excluded), "drawn")
+        if kept.count() >= wanted:
+            return kept
+        size *= 2
+    raise Short(f"fewer than {wanted} documents of {size // 2} drawn can be used")
+
+
+def pool(rows: DataFrame, name: str, kind: str, split: str, excluded: DataFrame | None = None, most: int = 50_000, seed: int = 0) -> list[str]:
+    """Names to fill slots with: those of one split of the hash of the name, none of excluded surfaces (kind, key), each once; a bounded sample, by hash, of ``most``."""
+    from . import splits
+
+    distinct = rows.select(F.col(name).alias("name")).where("name is not null").distinct()
+    own = distinct.where(splits.split_100(F.col("name"), seed) == split)
+    if excluded is not None:
+        keyed = own.withColumn("key", leakage.surface_key(F.lit(kind), F.col("name")))
+        own = leakage.without(keyed, excluded.where(F.col("kind") == kind).select("key"), ["key"]).select("name")
+    return [r["name"] for r in own.orderBy(splits.mixed_key(seed, F.col("name")), "name").limit(most).collect()]
+
+
 ROOM_STYLES = ("Room {}", "Building {}", "Mail Stop {}", "Suite {}")
 
 

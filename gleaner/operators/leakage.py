@@ -59,3 +59,55 @@ def disjoint_or_fail(left: DataFrame, right: DataFrame, keys: list[str], what: s
     """Raises if the sides share a key."""
     if not left.select(*keys).join(right.select(*keys), keys, "left_semi").isEmpty():
         raise ValueError(f"training and evaluation share {what}")
+
+
+SIGNALS = ("document", "surface", "contact", "prose")
+
+
+def separation(train: DataFrame, gold: DataFrame, size: int = 12) -> DataFrame:
+    """(signal, id, others): training documents that share something with gold ones, and what it is.
+
+    Both sides have id, text, document (a key of the source) and entities (kind, text).
+    Signals are an equal key, an equal surface of a name, an equal email or phone, and a
+    window of ``size`` words. Null keys and entities meet nothing; without rows all is apart.
+    """
+
+    def surfaces(rows: DataFrame, contact: bool) -> DataFrame:
+        found = rows.select("id", F.explode("entities").alias("e")).select("id", F.col("e.kind").alias("kind"), F.col("e.text").alias("value"))
+        held = found.where(F.col("kind").isin("email", "phone") == F.lit(contact))
+        return held.select("id", F.col("kind"), surface_key(F.col("kind"), F.col("value")).alias("key"))
+
+    def met(signal: str, left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+        hit = collisions(left, right, keys, "id", "id").select("id", F.explode("others").alias("other"))
+        return hit.groupBy("id").agg(F.array_sort(F.collect_set("other")).alias("others")).select(F.lit(signal).alias("signal"), "id", "others")
+
+    found = met("document", train.select("id", "document"), gold.select("id", "document"), ["document"])
+    for signal, contact in (("surface", False), ("contact", True)):
+        found = found.unionByName(met(signal, surfaces(train, contact), surfaces(gold, contact), ["kind", "key"]))
+    prose = prose_overlap(train, gold, "id", "id", size=size).select(F.lit("prose").alias("signal"), "id", F.col("items").alias("others"))
+    return found.unionByName(prose)
+
+
+def frozen_exclusions(parts: list[DataFrame], expected: int | None = None) -> DataFrame:
+    """(name, text, expected) of several evaluation sets as one set of exclusions.
+
+    A name or a text twice, a span unlike the text that it names, spans that overlap, and
+    another number of cases than expected are errors.
+    """
+    every = parts[0].select("name", "text", "expected")
+    for part in parts[1:]:
+        every = every.unionByName(part.select("name", "text", "expected"))
+    every = written(every, "exclusions")
+    for column in ("name", "text"):
+        if not every.groupBy(column).count().where("count > 1").isEmpty():
+            raise ValueError(f"a {column} is there twice")
+    data = F.encode("text", "UTF-8")
+    unlike = F.exists("expected", lambda s: ~F.substring(data, s["start"] + 1, s["end"] - s["start"]).cast("string").eqNullSafe(s["text"]))
+    ends = F.array_sort(F.transform("expected", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    steps = F.when(F.size(ends) > 1, F.sequence(F.lit(1), F.size(ends) - 1)).otherwise(F.array().cast("array<int>"))
+    if not every.where(unlike | F.exists(steps, lambda i: F.get(ends, i)["start"] < F.get(ends, i - 1)["end"])).isEmpty():
+        raise ValueError("a span differs from its text or overlaps another")
+    n = every.count()
+    if expected is not None and n != expected:
+        raise ValueError(f"{n} cases instead of {expected}")
+    return every

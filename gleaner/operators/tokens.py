@@ -113,11 +113,12 @@ def counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return rows.groupBy("class", "script").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
 
 
-def dominant_script(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, script): of most letter tokens, Han and kana counting as japanese; ties to the smaller name."""
+def dominant_script(rows: DataFrame, keys: list[str], first_seen: bool = False) -> DataFrame:
+    """(keys, script): of most letter tokens, Han and kana counting as japanese; ties to the smaller name, or to the script that is seen first."""
     name = F.when(F.col("script").isin("han", "hiragana", "katakana"), "japanese").otherwise(F.col("script"))
-    counted = rows.where(F.col("class").isin("alpha", "alnum")).groupBy(*keys, name.alias("script")).count()
-    return counted.groupBy(*keys).agg(F.min(F.struct((-F.col("count")).alias("n"), "script")).alias("best")).select(*keys, "best.script")
+    counted = rows.where(F.col("class").isin("alpha", "alnum")).groupBy(*keys, name.alias("script")).agg(F.count("*").alias("n"), F.min("start").alias("at"))
+    tie = ["at", "script"] if first_seen else ["script"]
+    return counted.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("n"), *tie)).alias("best")).select(*keys, "best.script")
 
 
 def too_long(tokens: list[Token], most: int = 4096) -> bool:

@@ -188,10 +188,20 @@ def supported(rows: DataFrame, group: str, kinds: tuple[str, ...] = KINDS) -> Da
     return found.select(group, F.array_except(F.array(*map(F.lit, kinds)), "has").alias("missing")).where(F.size("missing") > 0)
 
 
-def nearest_anchor_contacts(entities: DataFrame, keys: list[str], block: str) -> DataFrame:
+def silver_pieces(rows: DataFrame, id_col: str = "id", most: int = 512) -> DataFrame:
+    """(id, piece_no, text, entities, unreachable): pieces of labelled documents, as readers.silver() gives them, with the spans that a tagger can learn, and how many it can't."""
+    cut = document_pieces(rows, [id_col], most)
+    plain = lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
+    learned = F.filter("spans", lambda s: F.size(s["reasons"]) == 0)
+    return cut.select(id_col, "piece_no", "text", F.transform(learned, plain).alias("entities"), (F.size("spans") - F.size(learned)).alias("unreachable"))
+
+
+def nearest_anchor_contacts(entities: DataFrame, keys: list[str], block: str, text: str | None = None) -> DataFrame:
     """entities (keys, block, kind, start, end) with owner, by windows alone: the start of the nearest person before in the block, else of the first; organizations stand in where a block has no person.
 
-    The relational form of the baseline grouper; it doesn't look at how names are spelled.
+    The relational form of the baseline grouper. With a column of the entities' texts, an
+    email belongs to the first person of its block one of whose names, of three letters or
+    more, it spells between dots, lines and hyphens.
     """
     where = [*keys, block]
     has_person = F.max((F.col("kind") == "person").cast("int")).over(Window.partitionBy(*where)) == 1
@@ -201,7 +211,15 @@ def nearest_anchor_contacts(entities: DataFrame, keys: list[str], block: str) ->
     before = F.last(at, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     after = F.first(at, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     people = F.sum((F.col("__anchor") & (F.col("kind") == "person")).cast("int")).over(Window.partitionBy(*where))
-    owner = F.when(F.col("__anchor"), F.col("start")).when((F.col("kind") != "org") | (people == 1), F.coalesce(before, after))
+    near = F.coalesce(before, after)
+    if text:
+        long_ones = lambda words: F.filter(words, lambda w: F.length(w) >= 3)
+        names = long_ones(F.split(F.lower(text), r"(?U)[^\p{L}\p{N}]+"))
+        named = F.sort_array(F.collect_list(F.when(F.col("kind") == "person", F.struct("start", names.alias("names")))).over(Window.partitionBy(*where)))
+        spelled = long_ones(F.split(F.lower(F.substring_index(text, "@", 1)), "[._-]"))
+        own = F.get(F.filter(named, lambda p: F.arrays_overlap(p["names"], spelled)), F.lit(0))["start"]
+        near = F.coalesce(F.when(F.col("kind") == "email", own), near)
+    owner = F.when(F.col("__anchor"), F.col("start")).when((F.col("kind") != "org") | (people == 1), near)
     return entities.withColumn("__anchor", anchor).withColumn("owner", owner).drop("__anchor")
 
 

@@ -110,6 +110,21 @@ def predictions(spark: SparkSession, path: str, cases: DataFrame) -> DataFrame:
     return align(cases, rows, "name", "entities")
 
 
+NOTICE = "document_number string, title string, publication_date string, html_url string, body string"
+#: Characters of contact sections that make a notice worth keeping.
+LEAST_SECTIONS = 200
+
+
+def notices(spark: SparkSession, path: str) -> DataFrame:
+    """(id, title, date, url, text) of landed notices, one JSON object a line with their markup: contact sections alone, of LEAST_SECTIONS characters or more, each notice once."""
+    from gleaner.functions.html import notice_texts, sections
+
+    rows = spark.read.schema(NOTICE).option("mode", "FAILFAST").json(path).where("document_number is not null and body is not null")
+    one = rows.groupBy("document_number").agg(F.min(F.struct("publication_date", "title", "html_url", "body")).alias("r")).select("document_number", "r.*")
+    text = one.withColumn("text", notice_texts(F.col("body"))).withColumn("text", sections(F.col("text")))
+    return text.where(F.length("text") >= LEAST_SECTIONS).select(F.col("document_number").alias("id"), "title", F.col("publication_date").alias("date"), F.col("html_url").alias("url"), "text")
+
+
 def external(rows: DataFrame, kinds: dict[str, str], text_col: str = "text", spans_col: str = "entities") -> DataFrame:
     """Spans of another recogniser (kind, start, end in characters) as ours: kinds mapped, unmapped ones left out, offsets in bytes."""
     ours = F.create_map(*[F.lit(x) for pair in kinds.items() for x in pair])

@@ -1,9 +1,12 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner.functions import keys
-from gleaner.operators import generate, training
+from gleaner.operators import generate, leakage, tokens, training
 from gleaner.operators.augment import Draw
+from gleaner.sources import readers
 
 SPAN = "array<struct<kind:string,start:int,end:int>>"
 
@@ -118,3 +121,69 @@ def test_draws_are_even_and_independent():
 
     x = np.array([[d.uniform(), d.uniform()] for d in (Draw(1, i) for i in range(4000))])
     assert abs(x.mean(axis=0) - 0.5).max() < 0.02 and abs(np.corrcoef(x.T)[0, 1]) < 0.05
+
+
+def test_silver_pieces_keep_what_can_be_learned(spark):
+    text = "Ana Lee is é here.\n\nBob\n\nRoe works. Mail a@b.com now."
+    gold = [span(text, "person", "Ana Lee"), span(text, "person", "Bob\n\nRoe"), span(text, "org", "b.com")]
+    rows = training.silver_pieces(spark.createDataFrame([("x", text, gold), ("y", None, None)], f"id string, text string, entities {SPAN}"), most=6).collect()
+    assert sum(len(r["entities"]) for r in rows) == 1 and sum(r["unreachable"] for r in rows) == 2
+    assert all(r["text"].encode()[e["start"] : e["end"]] == b"Ana Lee" for r in rows for e in r["entities"])
+
+
+def test_emails_go_to_whom_they_spell(spark):
+    rows = [(1, 0, "person", 0, 8, "Ana Roe"), (1, 0, "person", 10, 18, "Bob Lee"), (1, 0, "email", 20, 30, "a.roe@x.com"), (1, 0, "email", 32, 40, "info@x.com"), (1, 1, "org", 50, 55, "ACME"), (1, 1, "email", 57, 60, "ana@x.com")]
+    made = spark.createDataFrame(rows, "doc long, block int, kind string, start int, end int, text string")
+    found = {r["start"]: r["owner"] for r in training.nearest_anchor_contacts(made, ["doc"], "block", "text").collect()}
+    assert found == {0: 0, 10: 10, 20: 0, 32: 10, 50: 50, 57: 50}
+    assert {r["start"]: r["owner"] for r in training.nearest_anchor_contacts(made, ["doc"], "block").collect()}[20] == 10
+
+
+def test_scripts_tie_by_name_or_by_place(spark):
+    rows = spark.createDataFrame([(1, 0, "alpha", "latin"), (1, 5, "alpha", "cyrillic"), (1, 9, "punct", "other")], "id long, start int, class string, script string")
+    assert tokens.dominant_script(rows, ["id"]).first()["script"] == "cyrillic" and tokens.dominant_script(rows, ["id"], True).first()["script"] == "latin"
+
+
+def test_documents_are_drawn_until_there_are_enough(spark):
+    pools = {"person": [f"Ana N{chr(97 + i)}me" for i in range(20)], "org": ["ACME Ltd"], "address": [f"{i} Oak Street" for i in range(1, 30)], "email": ["x@a.com"], "phone": ["1"], "city": ["Rome"], "date": ["May"], "number": [str(i) for i in range(50)], "word": [f"w{i}" for i in range(50)]}
+    templates = [("{person} lives at {address}.", "both"), ("{address} is {word}.", "no_person_with_address"), ("{person} is {word}.", "no_address_with_person"), ("Only {word} and {number}.", "nothing"), ("{word} {person}", "nothing")]
+    found = generate.drawn(spark, 24, templates, pools)
+    assert {r["category"]: r["count"] for r in found.groupBy("category").count().collect()} == {"both": 12, "nothing": 4, "no_person_with_address": 4, "no_address_with_person": 4}
+    with pytest.raises(generate.Short):
+        generate.drawn(spark, 24, templates[:2], pools, rounds=2)
+    names = spark.createDataFrame([(f"Name {i}",) for i in range(200)] + [(None,), ("Name 1",)], "name string")
+    out = spark.createDataFrame([("person", "name 3"), ("org", "name 4")], "kind string, key string")
+    train, test = (generate.pool(names, "name", "person", split, out) for split in ("train", "test"))
+    assert not set(train) & set(test) and "Name 3" not in train + test and len(train) == len(set(train)) > 100 and len(generate.pool(names, "name", "person", "train", most=5)) == 5
+
+
+ENTITY = "array<struct<kind:string,text:string>>"
+
+
+def test_separation_names_every_signal(spark):
+    words = " ".join(f"w{i}" for i in range(20))
+    schema = f"id long, text string, document string, entities {ENTITY}"
+    train = [(1, "a", "url:x", []), (2, "b", None, [("org", "The  ACME")]), (3, "c", "url:q", [("email", "A@b.com"), ("phone", "+1 202-555-0143")]), (4, "so " + words, None, None), (5, "d", None, [("person", "Nobody")])]
+    gold = [(9, "z", "url:x", [("org", "the acme"), ("email", "a@b.com")]), (8, words + " end", None, [("phone", "12025550143")])]
+    found = leakage.separation(spark.createDataFrame(train, schema), spark.createDataFrame(gold, schema)).collect()
+    assert sorted((r["signal"], r["id"], r["others"]) for r in found) == [("contact", 3, [8, 9]), ("document", 1, [9]), ("prose", 4, [8]), ("surface", 2, [9])]
+
+
+def test_exclusions_are_checked_and_frozen(spark):
+    schema = "name string, text string, expected array<struct<kind:string,start:int,end:int,text:string>>"
+    of = lambda *rows: spark.createDataFrame(list(rows), schema)
+    a, b = ("a", "é Ana Lee", [("person", 3, 6, "Ana"), ("person", 7, 10, "Lee")]), ("b", "none", [])
+    assert leakage.frozen_exclusions([of(a), of(b)], 2).count() == 2
+    for bad in ([of(a), of(a)], [of(a), of(("c", a[1], []))], [of(("d", "Ana", [("person", 0, 2, "Ana")]))], [of(("e", "Ana Lee", [("person", 0, 5, "Ana L"), ("person", 4, 7, "Lee")]))]):
+        with pytest.raises(ValueError):
+            leakage.frozen_exclusions(bad)
+    with pytest.raises(ValueError):
+        leakage.frozen_exclusions([of(a)], 371)
+
+
+def test_notices_are_their_contact_sections(spark, tmp_path):
+    body = "<p>SUMMARY: Nothing.\n\nADDRESSES: " + "Write to us at length. " * 12 + "\n\nOTHER PART: no</p>"
+    rows = [{"document_number": "2024-1", "title": "T", "html_url": "u", "body": body}] * 2 + [{"document_number": "2024-2", "body": "<p>ADDRESSES: short</p>"}, {"document_number": None, "body": body}, {"document_number": "2024-3"}]
+    (tmp_path / "n.json").write_text("\n".join(map(json.dumps, rows)))
+    found = readers.notices(spark, str(tmp_path / "n.json")).collect()
+    assert [r["id"] for r in found] == ["2024-1"] and found[0]["text"].startswith("ADDRESSES:\nWrite") and "OTHER" not in found[0]["text"]
