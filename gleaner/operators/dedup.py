@@ -54,26 +54,58 @@ def shingle_sets(rows: DataFrame, id_col: str, tokens: Column, size: int, least:
     return written(sets.where(F.size("s") >= least), "shingles")
 
 
-def _pairs(sets: DataFrame, names: list[str], threshold: float, distinct_sets: bool) -> DataFrame:
-    if distinct_sets:
-        sets = sets.groupBy("s", *names).agg(F.min("id").alias("id"))
-    sets = written(sets.withColumn("n", F.size("s")), "sets")
+def _ranked(sets: DataFrame, names: list[str], threshold: float) -> DataFrame:
+    """(id, n, blocks, h, rare) of sets (id, n, blocks, s): rare are the rarest shingles of a set, one of which any set that shares threshold of it has. Shingles of one set alone are left out, as nothing meets in them."""
     flat = sets.select("id", "n", *names, F.explode("s").alias("h"))
     frequency = flat.groupBy("h", *names).agg(F.count("*").alias("df"))
     rank = Window.partitionBy("id", *names).orderBy("df", "h")
     ranked = flat.join(frequency, ["h", *names]).withColumn("r", F.row_number().over(rank))
-    prefix = ranked.where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select(F.col("id").alias("a"), F.col("n").alias("na"), "h", *names)
-    other = flat.select(F.col("id").alias("b"), F.col("n").alias("nb"), "h", *names)
-    met = prefix.join(other, ["h", *names]).where((F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))).select("a", "b", *names).distinct()
+    rare = F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
+    return ranked.where("df > 1").withColumn("rare", rare).drop("r", "df")
+
+
+def _verified(met: DataFrame, sets: DataFrame, names: list[str], threshold: float) -> DataFrame:
+    """met (a, b, blocks) with shared, where their sets share threshold of the smaller one."""
     left = sets.select(F.col("id").alias("a"), F.col("s").alias("sa"), *names)
     right = sets.select(F.col("id").alias("b"), F.col("s").alias("sb"), *names)
     shared = met.join(left, ["a", *names]).join(right, ["b", *names]).withColumn("shared", F.size(F.array_intersect("sa", "sb")))
-    kept = shared.where(F.col("shared") >= F.least(F.size("sa"), F.size("sb")) * F.lit(threshold) - 1e-9)
+    return shared.where(F.col("shared") >= F.least(F.size("sa"), F.size("sb")) * F.lit(threshold) - 1e-9).drop("sa", "sb")
+
+
+def _pairs(sets: DataFrame, names: list[str], threshold: float, distinct_sets: bool) -> DataFrame:
+    if distinct_sets:
+        sets = sets.groupBy("s", *names).agg(F.min("id").alias("id"))
+    sets = written(sets.withColumn("n", F.size("s")), "sets")
+    flat = _ranked(sets, names, threshold)
+    prefix = flat.where("rare").select(F.col("id").alias("a"), F.col("n").alias("na"), "h", *names)
+    other = flat.select(F.col("id").alias("b"), F.col("n").alias("nb"), "h", *names)
+    met = prefix.join(other, ["h", *names]).where((F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))).select("a", "b", *names).distinct()
+    kept = _verified(met, sets, names, threshold)
     return kept.select(F.least("a", "b").alias("id"), F.greatest("a", "b").alias("other"), "shared")
 
 
+def _earliest(sets: DataFrame, threshold: float) -> DataFrame:
+    """(representative, earlier): distinct sets with an earlier one that they share enough with, and the earliest.
+
+    The least id that any of a set's shingles leads to is tried first. It is a grouped
+    minimum, so that a group of m near copies makes m pairs, not m * m. Only sets for
+    which that one isn't near meet all of their earlier candidates.
+    """
+    sets = written(sets.groupBy("s").agg(F.min("id").alias("id")).withColumn("n", F.size("s")), "sets")
+    flat = written(_ranked(sets, [], threshold), "ranked")
+    least = flat.groupBy("h").agg(F.min("id").alias("any"), F.min(F.when(F.col("rare"), F.col("id"))).alias("one"))
+    led = flat.join(least, "h").groupBy(F.col("id").alias("b")).agg(F.min(F.least("one", F.when(F.col("rare"), F.col("any")))).alias("a")).where("a < b")
+    led = written(led, "led")
+    near = written(_verified(led, sets, [], threshold).select("a", "b"), "near")
+    open_sets = led.join(near.select("b"), "b", "left_anti").select("b")
+    later = flat.join(open_sets.withColumnRenamed("b", "id"), "id", "left_semi").select(F.col("id").alias("b"), "h", F.col("rare").alias("late"))
+    met = later.join(flat.select(F.col("id").alias("a"), "h", "rare"), "h").where("a < b and (late or rare)").select("a", "b").distinct().join(led, ["a", "b"], "left_anti")
+    more = _verified(met, sets, [], threshold).groupBy("b").agg(F.min("a").alias("a"))
+    return near.unionByName(more).select(F.col("b").alias("representative"), F.col("a").alias("earlier"))
+
+
 def _members(sets: DataFrame) -> DataFrame:
-    keyed = sets.select("id", F.xxhash64("s").alias("k"), F.size("s").alias("n"))
+    keyed = sets.select("id", F.struct(F.xxhash64("s").alias("x"), F.xxhash64(F.lit(1), "s").alias("y")).alias("k"), F.size("s").alias("n"))
     reps = keyed.groupBy("k", "n").agg(F.min("id").alias("representative"))
     return keyed.join(reps, ["k", "n"]).select("id", "representative")
 
@@ -86,8 +118,7 @@ def members(rows: DataFrame, id_col: str, tokens: Column, size: int = 7, least:
 def near_duplicates(rows: DataFrame, id_col: str, tokens: Column, size: int = 7, threshold: float = 0.80, least: int = 5) -> DataFrame:
     """(id, prior): rows with an earlier one that they share enough with, and the earliest of those."""
     sets = shingle_sets(rows, id_col, tokens, size, least)
-    by_set = _pairs(sets, [], threshold, True).groupBy(F.col("other").alias("representative")).agg(F.min("id").alias("earlier"))
-    found = _members(sets).join(by_set, "representative", "left")
+    found = _members(sets).join(_earliest(sets, threshold), "representative", "left")
     own = F.when(F.col("representative") < F.col("id"), F.col("representative"))
     return found.select("id", F.least(own, "earlier").alias("prior")).where("prior is not null")
 
