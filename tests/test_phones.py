@@ -52,6 +52,12 @@ def test_scan(text, hints, want):
     assert found(text, *hints) == want
 
 
+@pytest.mark.parametrize("word", ["gelichst", "GEL", "europaweit", "poundland"])
+def test_words_after_a_number_in_full_are_no_currency(word):
+    assert found(f"einßung +1 (287) 555-6394 {word}") == [("+1 (287) 555-6394", "+12875556394", "US")]
+    assert found(f"+1 234 567 8901 {word}") == found(f"030 1234567 {word}", "DE") == []  # without brackets they are, as beginnings of words
+
+
 def test_offsets_are_bytes():
     e = phones.scan("é +1 202-555-0143", ())[0]
     assert (e.start, e.end) == (3, 18)
