@@ -218,3 +218,27 @@ def test_bundles():
             neural.read_bundle(bad)
     with pytest.raises(neural.BundleError):
         neural.read_bundle(data, "sha256-00")
+
+
+def test_detection_reads_only_lines_that_can_hold_something(monkeypatch):
+    read = []
+    monkeypatch.setattr(baseline, "tokenize", lambda t: read.append(len(t)) or tokens.tokenize(t))
+    prose = "\n".join(["der lange Satz mit vielen Worten, in dem gar nichts steht, und noch mehr."] * 500)
+    text = f"{prose}\nMr. John Smith\n12 Oak Street\nDenver, CO 80202\n{prose}\nbest regards\nAnn Lee\n{prose}"
+    found = baseline.detect(text, [])
+    assert [(e.kind, text[e.start : e.end]) for e in found] == [("person", "Mr. John Smith"[4:]), ("address", "12 Oak Street\nDenver, CO 80202"), ("person", "Ann Lee")]
+    assert sum(read) < len(text) / 10 and found == baseline._detect(text, [], None)
+
+
+def test_detection_by_lines_equals_that_of_whole_texts():
+    import random
+
+    r = random.Random(3)
+    words = (
+        ["Mr", "Ltd", "GmbH", "Dear", "Kind  regards", "12 Oak Street", "Denver, CO 80202", "SW1A", "1AA", "­Ltd", "é", "\tJohn\t", " ", "Anna Smith", "1017 AB", "co.", "de", "heer", "\r\n", "x​Ltd"]
+        + ["a@b.com", "+1 (202) 555-0143", "ბატონი", "De  Heer", "united states", "L­td", "5", "Main Road 7"] + ["foo", "Bar", "baz,", "Straße"] * 4
+    )
+    for _ in range(400):
+        text = "".join(r.choice(words) + r.choice([" ", " ", " ", "\n", "\n\n", "  ", ", ", ""]) for _ in range(r.randint(1, 70)))
+        found = rules.scan(text)[1]
+        assert baseline.detect(text, found) == baseline._detect(text, sorted((e.start, e.end) for e in found), None), text
