@@ -103,18 +103,84 @@ def overlapping(left: list[list[int]], right: list[list[int]], least_iou: float
     return sorted(pairs)
 
 
-def one_to_one(gold: DataFrame, predicted: DataFrame, doc: str, least_iou: float = 0.0) -> DataFrame:
-    """(doc, kind, matched): sizes of largest one-to-one matchings of overlapping spans of a kind, document by document."""
-    schema = f"{doc} {dict(gold.dtypes)[doc]}, kind string, matched int"
+def _cluster_matches(first, start, end, side, least_iou: float):
+    """Sizes of largest matchings of groups of spans: first marks where a group begins, spans of a group are in order of start. Arrays in, an array out.
+
+    Spans that hang together by overlaps are a cluster. With a single span of a side it has
+    one match, if any pair overlaps enough; only larger ones are matched by paths.
+    """
+    import numpy as np
+
+    group = np.cumsum(first) - 1
+    total = np.zeros(int(group[-1]) + 1, np.int64)
+    real = end > start  # others overlap nothing
+    group, start, end, side = (x[real] for x in (group, start, end, side))
+    if not len(group):
+        return total
+    low = min(int(start.min()), 0)
+    step = int(end.max()) - low + 1
+    a, b = start - low + group * step, end - low + group * step
+    opens = np.ones(len(a), bool)
+    opens[1:] = a[1:] >= np.maximum.accumulate(b)[:-1]
+    cluster = np.cumsum(opens) - 1
+    sizes = [np.bincount(cluster[side == k], minlength=int(cluster[-1]) + 1) for k in (0, 1)]
+    least, places = np.minimum(*sizes), np.flatnonzero(opens)
+    hard = least > 1 if least_iou <= 0 else least > 0
+    for k in np.flatnonzero(hard):
+        own = slice(places[k], places[k] + sizes[0][k] + sizes[1][k])
+        spans = np.stack([start[own], end[own]], 1)
+        least[k] = len(matching(overlapping(spans[side[own] == 1].tolist(), spans[side[own] == 0].tolist(), least_iou)))
+    np.add.at(total, group[places], least)
+    return total
 
-    def run(key, left, right):
-        import pandas as pd
 
-        a, b = (side[["start", "end"]].to_numpy().tolist() for side in (left, right))
-        pairs = overlapping(b, a, least_iou)
-        return pd.DataFrame({doc: [key[0]], "kind": [key[1]], "matched": [len(matching(pairs))]})
+def one_to_one(gold: DataFrame, predicted: DataFrame, doc: str, least_iou: float = 0.0) -> DataFrame:
+    """(doc, kind, matched): sizes of largest one-to-one matchings of overlapping spans of a kind, document by document.
 
-    return gold.groupBy(doc, "kind").cogroup(predicted.groupBy(doc, "kind")).applyInPandas(run, schema)
+    Spans come sorted, in Arrow batches, many documents at a time.
+    """
+    keys = [doc, "kind"]
+    side = lambda rows, k: rows.select(*keys, *[F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(c) for c in ("start", "end")], F.lit(k).alias("side"))
+    every = side(gold, 0).unionByName(side(predicted, 1))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def begins(table):
+            found = np.zeros(table.num_rows, bool)
+            found[0] = True
+            for k in (0, 1):
+                now, old = table.column(k).slice(1), table.column(k).slice(0, table.num_rows - 1)
+                same = pc.or_(pc.fill_null(pc.equal(now, old), False), pc.and_(now.is_null(), old.is_null()))
+                found[1:] |= ~same.to_numpy()
+            return found
+
+        def matched(table, first):
+            columns = [table.column(k).to_numpy() for k in (2, 3, 4)]
+            heads = table.select([0, 1]).take(pa.array(np.flatnonzero(first)))
+            return heads.append_column("matched", pa.array(_cluster_matches(first, *columns, least_iou), pa.int32())).combine_chunks().to_batches()
+
+        held: list = []  # rows of the last group so far, which may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held and not begins(pa.Table.from_batches([held[-1].slice(held[-1].num_rows - 1), batch]))[1:].any():
+                held.append(batch)
+                continue
+            table = pa.Table.from_batches([*held, batch])
+            first = begins(table)
+            last = int(np.flatnonzero(first)[-1])
+            if last:
+                yield from matched(table.slice(0, last), first[:last])
+            held = table.slice(last).to_batches()
+        if held:
+            table = pa.Table.from_batches(held)
+            yield from matched(table, begins(table))
+
+    types = dict(every.dtypes)
+    return every.repartition(*keys).sortWithinPartitions(*keys, "start").mapInArrow(run, f"`{doc}` {types[doc]}, kind {types['kind']}, matched int")
 
 
 def false_positive_rate(gold: DataFrame, predicted: DataFrame, docs: DataFrame, doc: str) -> DataFrame:

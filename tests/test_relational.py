@@ -132,6 +132,26 @@ def test_scores(spark):
     assert {r["kind"]: r["matched"] for r in metrics.one_to_one(gold, pred, "doc").where("doc = 1").collect()} == {"org": 2, "person": 1}
 
 
+@pytest.mark.parametrize("least_iou", [0.0, 0.4])
+def test_one_to_one_by_clusters_equals_matching_by_documents(spark, least_iou):
+    import random
+
+    rnd, sides = random.Random(7), []
+    for _ in range(2):
+        spans = [(rnd.randint(1, 12), rnd.choice(["org", "person", None]), a, a + rnd.randint(0, 9)) for a in (rnd.randint(0, 120) for _ in range(300))]
+        sides.append([*spans, (99, "org", 5, 5), (98, "org", 0, 9), (98, "org", 4, 4), (98, "org", 5, 8)])
+    want = {}
+    for key in {s[:2] for side in sides for s in side}:
+        own = [[list(s[2:]) for s in side if s[:2] == key] for side in sides]
+        want[key] = len(metrics.matching(metrics.overlapping(own[1], own[0], least_iou)))
+    found = metrics.one_to_one(*(spark.createDataFrame(s, GOLD) for s in sides), "doc", least_iou)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # groups go on in other batches
+    rows = found.collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {(r["doc"], r["kind"]): r["matched"] for r in rows} == want and len(rows) == len(want)
+    assert "CoGroups" not in found._jdf.queryExecution().executedPlan().toString()  # documents by the million are no Python calls
+
+
 def test_matching_is_largest_by_brute_force():
     import random
 
