@@ -242,3 +242,25 @@ def test_detection_by_lines_equals_that_of_whole_texts():
         text = "".join(r.choice(words) + r.choice([" ", " ", " ", "\n", "\n\n", "  ", ", ", ""]) for _ in range(r.randint(1, 70)))
         found = rules.scan(text)[1]
         assert baseline.detect(text, found) == baseline._detect(text, sorted((e.start, e.end) for e in found), None), text
+
+
+def test_counting_reads_each_run_once_and_equals_tokens(monkeypatch):
+    import collections
+    import random
+
+    r = random.Random(9)
+    bits = ["foo", "Bär", "O'Neil's", "-", "3.14", "221B", "東京", "é", "\u00ad", "\t", "\x0b", "\u200b", "\r\n", "\r", "\x85", "😀", "x" * 70, "ა", "", ".", "co-Op", "\u3000"]
+    texts = ["".join(r.choice(bits) + r.choice(["", " ", " ", "  ", "\n"]) for _ in range(r.randint(0, 40))) for _ in range(1500)] + [" ", "  ", "\n", " a", "a ", "", "\n \n  x"]
+    n, size, work = collections.Counter(), collections.Counter(), tokens._Counting()
+    for text in texts:
+        work.add(text)
+        for t in tokens.tokenize(text):
+            n[t.kind, t.script] += 1
+            size[t.kind, t.script] += t.end - t.start
+    work.flush()
+    assert work.n == n and work.bytes == size
+    read, plain = [], tokens.tokenize
+    monkeypatch.setattr(tokens, "tokenize", lambda t: read.append(len(t)) or plain(t))
+    work.add("the same few words again and again\n" * 1000)
+    work.flush()
+    assert sum(read) < 100
