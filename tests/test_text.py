@@ -264,3 +264,12 @@ def test_counting_reads_each_run_once_and_equals_tokens(monkeypatch):
     work.add("the same few words again and again\n" * 1000)
     work.flush()
     assert sum(read) < 100
+
+
+def test_parts_are_handed_over_few_at_a_time(spark):
+    from gleaner import arrow
+
+    texts = spark.createDataFrame([(i, "a b " * 5000) for i in range(8)], "id long, text string").coalesce(1)
+    sizes = features.token_features(texts, ["id"]).mapInArrow(lambda bs: bs, "id long, pos int, start int, end int, ngram_ids array<int>, script tinyint, shape tinyint, flags int")
+    assert sizes.count() == 8 * 20_000 and sizes.select("id", "pos").distinct().count() == 8 * 20_000
+    assert arrow.MOST_PARTS <= 10_000 and features.ngram_ids.cache_info().maxsize <= 50_000
